@@ -71,9 +71,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
 
 
 def block_masks(n: int, k: int) -> list[int]:
-    """Masks of key bits: more blocks for more fingerprints, so buckets stay small."""
+    """Masks of key bits: more blocks for more fingerprints, so buckets stay small.
+
+    Longer keys mean more copies of each fingerprint; a bucket of a few hundred
+    is joined faster than those copies are moved.
+    """
     b = k + 1
-    while b - k < 4 and n > (16 << round(BITS * (b - k) / b)) and comb(b + 1, k) <= 70:
+    while b - k < 4 and n > (256 << round(BITS * (b - k) / b)) and comb(b + 1, k) <= 70:
         b += 1
     cuts = [round(i * BITS / b) for i in range(b + 1)]
     parts = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(b)]
