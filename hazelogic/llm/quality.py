@@ -26,6 +26,8 @@ CHI2_MEDIAN = 3.356694
 CUTOFF = 45.0
 #: The share of rows the estimates rest on, the steps, the rows a group needs for estimates of its own.
 H, STEPS, LEAST_ROWS = 0.75, 4, 100
+#: A group's rows are dealt over one more part for every so many.
+ROWS_PER_SALT = 2_000
 
 
 def _n(c: Column) -> Column:
@@ -110,9 +112,14 @@ def _cholesky(params: DataFrame) -> DataFrame:
     return params.select("g", *[f"m_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
 
 
-def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, params: DataFrame, parts: DataFrame) -> DataFrame:
     """`rows` with d2, the squared Mahalanobis distance under their group's estimates."""
-    return _z(rows.join(params, "g"))
+    return _z(_met(rows, params, parts))
+
+
+def _met(rows: DataFrame, values: DataFrame, parts: DataFrame) -> DataFrame:
+    """Joins one row per group to `rows`, a hot group in as many parts as it was salted into."""
+    return rows.join(values.join(parts, "g"), ["g", "salt"])
 
 
 def _z(rows: DataFrame) -> DataFrame:
@@ -139,11 +146,11 @@ def _start(rows: DataFrame) -> DataFrame:
     return _cholesky(q.select("g", *cols))
 
 
-def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, params: DataFrame, parts: DataFrame) -> DataFrame:
     """One step: estimates from the share H of each group's rows that is nearest."""
-    near = _distance(rows, params)
+    near = _distance(rows, params, parts)
     edge = quantiles(near, {"d2": _log_d2()}, (H,), 1 / 128).select("g", F.col("q0").alias("edge"))
-    inner = near.join(edge, "g").where(_log_d2() < F.col("edge"))
+    inner = _met(near, edge, parts).where(_log_d2() < F.col("edge"))
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
     x = [F.col(f) for f in FEATURES]
     sums = inner.groupBy("g").agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in pairs])
@@ -161,7 +168,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     fine = rows.groupBy("lg", "sc").agg(F.count("*").alias("n"))
     rest = fine.where(F.col("n") < LEAST_ROWS).groupBy("lg").agg(F.sum("n").alias("rest"))
     return fine.join(rest, "lg", "left").select(
-        "lg", "sc", F.when(F.col("n") >= LEAST_ROWS, F.concat_ws("\x01", F.lit("2"), "lg", "sc")).when(F.col("rest") >= LEAST_ROWS, F.concat_ws("\x01", F.lit("1"), "lg")).otherwise("0").alias("g"),
+        "lg", "sc", "n", F.when(F.col("n") >= LEAST_ROWS, F.concat_ws("\x01", F.lit("2"), "lg", "sc")).when(F.col("rest") >= LEAST_ROWS, F.concat_ws("\x01", F.lit("1"), "lg")).otherwise("0").alias("g"),
     )
 
 
@@ -172,14 +179,18 @@ def fit(stats: DataFrame) -> DataFrame:
     rule take no part. One row per language and source, written in the shared
     folder.
     """
-    names = materialise(_groups(stats.where(~F.col("base_failed"))), "quality-groups")
-    rows = materialise(stats.where(~F.col("base_failed")).join(names, ["lg", "sc"]).select("g", *FEATURES), "quality-rows")
+    names = _groups(stats.where(~F.col("base_failed")))
+    salts = names.groupBy("g").agg(F.ceil(F.sum("n") / ROWS_PER_SALT).alias("salts"))
+    names = materialise(names.join(salts, "g"), "quality-groups")
+    parts = materialise(names.select("g", "salts").distinct().select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")), "quality-parts")
+    rows = stats.where(~F.col("base_failed")).join(names, ["lg", "sc"])
+    rows = materialise(rows.select("g", F.pmod(F.monotonically_increasing_id(), "salts").alias("salt"), *FEATURES), "quality-rows")
     params = materialise(_start(rows), "mcd")
     for _ in range(STEPS):
-        params = materialise(_concentrate(rows, params), "mcd")
-    scale = quantiles(_distance(rows, params), {"d2": _log_d2()}, (0.5,), 1 / 128)
+        params = materialise(_concentrate(rows, params, parts), "mcd")
+    scale = quantiles(_distance(rows, params, parts), {"d2": _log_d2()}, (0.5,), 1 / 128)
     scale = scale.select("g", F.greatest(F.expm1("q0") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return materialise(names.join(params, "g").join(scale, "g").drop("g"), "quality-model")
+    return materialise(names.join(params, "g").join(scale, "g").drop("g", "n", "salts"), "quality-model")
 
 
 def apply(stats: DataFrame, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
