@@ -455,7 +455,7 @@ def e3_confusion(spark, d):
     return evaluate.confusion(df, "l_returnflag", "p")
 
 
-@query(f"SELECT k, round(avg((ahead < k)::INT), 6) AS accuracy FROM (SELECT count(*) FILTER (f.s > o.s OR (f.s = o.s AND f.label > o.label)) AS ahead FROM ({_FIRE}) f JOIN (SELECT f.* FROM ({_FIRE}) f JOIN lineitem USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE label = l_returnflag) o USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey), (SELECT unnest([1, 2, 3]) AS k) GROUP BY k")
+@query(f"SELECT k, round(avg((ahead < k)::INT), 6) AS accuracy FROM (SELECT count(*) FILTER (f.label <> o.label AND (f.s > o.s OR (f.s = o.s AND f.label > o.label))) AS ahead FROM ({_FIRE}) f JOIN (SELECT f.* FROM ({_FIRE}) f JOIN lineitem USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE label = l_returnflag) o USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey), (SELECT unnest([1, 2, 3]) AS k) GROUP BY k")
 def e1_top_k_accuracy(spark, d):
     df, m = fitted(spark, d)
     got = evaluate.top_k_accuracy(df.withColumn("s", infer.firing(m)), "l_returnflag", "s", m.labels, 3)
