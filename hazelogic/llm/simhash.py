@@ -163,7 +163,7 @@ def trie_join(fp: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
         small = (a[1] - a[0]) * (b[1] - b[0]) <= DIRECT
         if small.any():
             i, j = _expand(a[:, small], b[:, small])
-            hit = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= k)
+            hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= k)
             forest.link(i[hit], j[hit])
             a, b = a[:, ~small], b[:, ~small]
         if not a.shape[1]:
