@@ -9,13 +9,17 @@ up, and a pair is dropped once they exceed k. Pairs of nodes whose leaves are
 all linked already are not opened again, so a bucket of very many near copies
 gives the links of a spanning forest, never all its pairs. Links between
 buckets meet in a distributed connected-components run over fingerprints.
+
+`near_copies` takes the same join to texts of Jaccard similarity 0.8, where
+four bits of 64 find next to nothing: see `Wide`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +39,47 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text as an unsigned number; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if it is shorter."""
     from xxhash import xxh64_intdigest as h
 
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(w), max(1, len(w) - shingle + 1)
     if n == 1:
-        values = [h(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        begins = np.concatenate(([0], ends[:-1] + 1))
-        values = [h(joined[a:b], seed) for a, b in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([h(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([h(joined[a:b], seed) for a, b in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half the values; 0 without values."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):
-        part = np.array(values[at : at + 65536], dtype=np.uint64).astype(">u8")
+    for at in range(0, len(values), 65536):
+        part = values[at : at + 65536].astype(">u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text as an unsigned number; 0 without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def _mixed(x: np.ndarray, i: int) -> np.ndarray:
+    """The i-th of independent 64-bit hashes made from 64-bit hashes (the splitmix64 finaliser)."""
+    x = x + np.uint64((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int, seed: int) -> list[int]:
+    """Four fingerprints, 256 bits together, of the set of a text's shingles."""
+    values = np.unique(shingle_hashes(text, shingle, seed))
+    return [majority(values), *(majority(_mixed(values, i)) for i in (1, 2, 3))]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,11 +155,13 @@ class Forest:
         return (c[a[1] - 1] == c[a[0]]) & (c[b[1] - 1] == c[b[0]]) & (self.label[a[0]] == self.label[b[0]])
 
 
-def trie_join(fp: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+def trie_join(fp: np.ndarray, starts: np.ndarray, k: int, more: np.ndarray | None = None, k_all: int = 0) -> np.ndarray:
     """For each row the least row it is linked to inside its bucket.
 
     fp: unsigned fingerprints, ascending and distinct inside each bucket;
-    starts: where the buckets begin, and the number of rows.
+    starts: where the buckets begin, and the number of rows. With `more`
+    (further bits, a row of words for each fingerprint) a link also needs at
+    most k_all differing bits in all.
     """
     forest = Forest(len(fp))
     size = np.diff(starts)
@@ -152,7 +180,7 @@ def trie_join(fp: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
             under = _below(fp[a[0]] ^ fp[a[1] - 1]) | _below(fp[b[0]] ^ fp[b[1] - 1])
             far = np.bitwise_count((fp[a[0]] ^ fp[b[0]]) & ~under)
             a, b, under, far = (x[..., far <= k] for x in (a, b, under, far))
-            near = far + np.bitwise_count(under) <= k  # whatever the bits below are
+            near = (far + np.bitwise_count(under) <= k) & (more is None)  # whatever the bits below are
             if near.any():
                 i, j = _expand(np.stack([a[0], a[1]])[:, near], np.stack([b[0], b[0] + 1])[:, near])
                 x, y = _expand(np.stack([a[0], a[0] + 1])[:, near], np.stack([b[0], b[1]])[:, near])
@@ -164,7 +192,11 @@ def trie_join(fp: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
         if small.any():
             i, j = _expand(a[:, small], b[:, small])
             hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= k)
-            forest.link(i[hit], j[hit])
+            i, j = i[hit], j[hit]
+            if more is not None:
+                both = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1) <= k_all
+                i, j = i[both], j[both]
+            forest.link(i, j)
             a, b = a[:, ~small], b[:, ~small]
         if not a.shape[1]:
             continue
@@ -201,13 +233,15 @@ def _children(fp: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([a[0], lo]), np.stack([lo, a[1]])
 
 
-def _bucket_links(k: int):
-    def links(c: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
+def _bucket_links(k: int, k_all: int = 0):
+    """Links of buckets from batches of (c, key, fp, rep) and, for wide fingerprints, more words."""
+
+    def links(c: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
         new = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1
         starts = np.concatenate(([0], new, [len(fp)]))
         order = np.lexsort((fp, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
         fp, rep = fp[order], rep[order]
-        label = trie_join(fp, starts, k)
+        label = trie_join(fp, starts, k, np.stack(more, axis=1)[order].view(np.uint64) if more else None, k_all)
         i = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[label[i]])], names=["a", "b"]) if len(i) else None
 
@@ -215,20 +249,20 @@ def _bucket_links(k: int):
         held: list[list[np.ndarray]] = []
         rows = 0
         for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
             rows += b.num_rows
             if rows < BATCH_ROWS:
                 continue
-            c, key, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+            c, key, fp, rep, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = np.flatnonzero((c != c[-1]) | (key != key[-1]))
             at = cut[-1] + 1 if len(cut) else 0  # the last bucket may go on in the next batch
-            if at and (out := links(c[:at], key[:at], fp[:at].view(np.uint64), rep[:at])):
+            if at and (out := links(c[:at], key[:at], fp[:at].view(np.uint64), rep[:at], *(m[:at] for m in more))):
                 yield out
-            held = [[c[at:], key[at:], fp[at:], rep[at:]]]
+            held = [[c[at:], key[at:], fp[at:], rep[at:], *(m[at:] for m in more)]]
             rows = 0 if at else -len(c)
         if held:
-            c, key, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(c) and (out := links(c, key, fp.view(np.uint64), rep)):
+            c, key, fp, rep, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(c) and (out := links(c, key, fp.view(np.uint64), rep, *more)):
                 yield out
 
     return run
@@ -300,3 +334,74 @@ _NO_ID = (1 << 63) - 1
 
 def _named(classes: DataFrame) -> DataFrame:
     return classes.select("fp", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"))
+
+
+# ---------------------------------------------------------------- near copies by similarity
+
+
+@dataclass(frozen=True)
+class Wide:
+    """How `near_copies` finds texts of a Jaccard similarity.
+
+    Sets of similarity J differ in a share p = arccos(2J / (1 + J)) / pi of the
+    bits, which is 39 of 256 at 0.8. Keys are samples of `key_bits` of the 256
+    bits, as many as make two texts at `similarity` meet in a bucket with
+    probability `meet`; in a bucket the trie join prunes at `first_budget` of
+    the first 64 bits and links at `budget` of 256. Both budgets are set from p
+    by deviations of the binomial: 3 and 1.25.
+    """
+
+    similarity: float = 0.8
+    meet: float = 0.95
+    seed: int = 42
+
+    @property
+    def p(self) -> float:
+        return acos(2 * self.similarity / (1 + self.similarity)) / pi
+
+    def _budget(self, bits: int, deviations: float) -> int:
+        return round(bits * self.p + deviations * (bits * self.p * (1 - self.p)) ** 0.5)
+
+    @property
+    def first_budget(self) -> int:
+        return self._budget(BITS, 3)
+
+    @property
+    def budget(self) -> int:
+        return self._budget(4 * BITS, 1.25)
+
+    def masks(self, n: int) -> list[tuple[int, int]]:
+        """(word, mask) of each key; keys get longer, and more, beyond 256 texts a bucket."""
+        key_bits = max(16, ceil(log2(max(n, 1))) - 8)
+        tables = ceil(log(1 - self.meet) / log(1 - (1 - self.p) ** key_bits))
+        rng = np.random.default_rng(self.seed)
+        return [(t % 4, sum(1 << int(i) for i in rng.choice(BITS, key_bits, replace=False))) for t in range(tables)]
+
+
+def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every row, linked by similarity of the shingle sets.
+
+    Texts of equal first fingerprints are one class; classes are linked by the
+    trie join of their 256 bits (see `Wide`). The test is on bits alone, so
+    texts a little below the similarity may be linked and a few above it may
+    be missed. Rows without words (null, empty) are one class; null ids,
+    repeated rows, other columns and empty tables are as in `near_duplicates`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t, shingle, how.seed) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=["doc_id", "fp", "w1", "w2", "w3"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialise(rows.mapInArrow(run, "doc_id long, fp long, w1 long, w2 long, w3 long"), "fingerprints")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "w1", "w2", "w3")).alias("m")
+    classes = materialise(prints.groupBy("fp").agg(least).select("fp", "m.*"), "classes")
+    words = ["fp", "w1", "w2", "w3"]
+    keys = [F.struct(F.lit(c).alias("c"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for c, (w, m) in enumerate(how.masks(classes.count()))]
+    keyed = classes.select(F.explode(F.array(*keys)).alias("k"), *words, "rep").select("k.c", "k.key", "fp", "rep", "w1", "w2", "w3")
+    links = keyed.repartition("c", "key").sortWithinPartitions("c", "key").mapInArrow(_bucket_links(how.first_budget, how.budget), "a long, b long")
+    roots = components(links.distinct())
+    known = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
+    known = known.withColumn("component_id", F.when(F.col("component_id") == _NO_ID, F.lit(None)).otherwise(F.col("component_id")))
+    return prints.select("doc_id", "fp").join(known, F.col("fp") == F.col("f")).select("doc_id", "component_id")

@@ -177,6 +177,57 @@ def brute_components(rows, k):
     return {i: (f"{f:016x}", find(i)) for i, f in fps}
 
 
+def shingles(text, size=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies(spark):
+    """Copies at a similarity of 0.8 or more are found, others are left alone, wide links are as brute force has them."""
+    rng, how, rows = random.Random(8), simhash.Wide(), []
+    for t in [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(150)]:
+        w = t.split()
+        for at in rng.sample(range(200), 3):
+            w[at] = "changed"
+        rows += [t, t, " ".join(w)]
+    rows += [None, "", " ", "a b", "A B"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert len(comp) == len(rows)
+    sets = [shingles(t) for t in rows]
+    assert all(comp[i + 1] == i for i in range(0, 450, 3))
+    near = [i for i in range(0, 450, 3) if jaccard(sets[i], sets[i + 2]) >= 0.8]
+    assert len(near) > 100 and sum(comp[i + 2] == i for i in near) >= 0.9 * len(near)
+    assert all(comp[i] // 3 == i // 3 for i in range(450))
+    assert [comp[i] for i in range(450, 455)] == [450, 450, 450, 453, 453]
+    fps = [simhash.wide_fingerprint(t, 5, how.seed) for t in rows]
+    for i in near:
+        apart = sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[i + 2], strict=True))
+        assert apart <= how.budget or comp[i + 2] != i
+    assert simhash.near_copies(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "x y z"), (None, "p q r"), (4, "x y z"), (4, "x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_copies(odd).collect()) == [(0, 0), (0, 4), (4, 4), (4, 4)]
+
+
+def test_wide_trie_join_links_what_brute_force_links():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    words = np.concatenate([np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (12, 200, 4), dtype=np.uint64), axis=0) ^ b for b in base])
+    words = words[np.unique(words[:, 0], return_index=True)[1]]
+    dist = np.bitwise_count(words[:, None] ^ words[None]).astype(int)
+    for k, k_all in [(16, 70), (16, 62), (12, 60), (64, 56)]:
+        hit = (dist[:, :, 0] <= k) & (dist.sum(axis=2) <= k_all)
+        want = np.arange(len(words))
+        for _ in range(len(words)):
+            want = np.array([want[h].min() for h in hit])
+        label = simhash.trie_join(words[:, 0].copy(), np.array([0, len(words)]), k, words[:, 1:].copy(), k_all)
+        assert 3 <= len(set(want)) < len(words) and (label == want).all()
+
+
 @pytest.mark.parametrize("k", [1, 4])
 def test_simhash(spark, k):
     base = texts(80, 5)
@@ -246,5 +297,8 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect() if not brute_hits(r.text, items)[1]}
     one = {r.doc_id for r in p.near_duplicates(spark, docs, TINY).collect()}
-    assert one == {c for _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()], 4).values()}
+    assert one == {r.component_id for r in simhash.near_copies(docs).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    far = [i for i, s in sets.items() if all(jaccard(s, t) < 0.5 for j, t in sets.items() if i != j)]
+    assert far and set(far) <= one  # documents without a near copy stay
     assert p.mix(spark, clean, TINY).where(F.col("copy") >= 3).count() == 0
