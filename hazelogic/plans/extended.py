@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazelogic.functions import membership as mf
-from hazelogic.operators import fit, infer, interactions, mixtures, refine, rulebase, rules, scaling, solve, trees
+from hazelogic.operators import ensemble, fit, infer, interactions, mixtures, refine, rulebase, rules, scaling, solve, trees
 from hazelogic.plans.registry import _FIRE, FEATURES, KEY, fitted, lines, query, r
 from hazelogic.sources import table
 
@@ -323,3 +323,29 @@ def t1_t3_refine_classifier(spark, d):
     df, model = fitted(spark, d)
     got, _ = refine.refine_classifier(df, model, "l_returnflag", sweeps=1)
     return df.select(*KEY, infer.classify(infer.firing(got), got.labels).alias("predicted"))
+
+
+# ------------------------------------------------------------ estimators made of others
+
+
+@query()
+def h10_bagging(spark, d):
+    df, labels = lines(spark, d, *FEATURES, "l_returnflag"), ["A", "N", "R"]
+    models = ensemble.bag(df, FEATURES, "l_returnflag", KEY, members=5, columns=0.75)
+    p = ensemble.bag_probabilities(models, labels)
+    return df.select(*KEY, *[r(F.get(p, F.lit(i))).alias(f"p_{x.lower()}") for i, x in enumerate(labels)])
+
+
+@query()
+def h15_few_shot(spark, d):
+    df = lines(spark, d, *FEATURES, "l_returnflag")
+    return df.select(*KEY, r(ensemble.few_shot(df, FEATURES, F.col("l_returnflag") == "R"), 4).alias("score"))
+
+
+@query()
+def h12_multi_output(spark, d):
+    df = lines(spark, d, *FEATURES)
+    make = lambda t: ensemble.TreeRegressor(["l_quantity", "l_discount"], t, options={"max_depth": 1})
+    got = ensemble.MultiOutput(make, ["l_extendedprice", "l_tax"]).fit(df)
+    price, tax = got.predict()
+    return df.select(*KEY, r(price, 2).alias("price"), r(tax).alias("tax"))
