@@ -7,6 +7,7 @@ projection whose constants come from the model: no join and no shuffle.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,10 +72,15 @@ def probabilities(strengths: Column, n: int) -> Column:
     return F.when(total == 0, F.array_repeat(F.lit(1.0 / n), n)).otherwise(F.transform(strengths, lambda x: x / total))
 
 
+def _with_total(strengths: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(strengths, their sum), each computed once a row: lambda variables hold them."""
+    once = lambda x, g: F.get(F.transform(F.array(x), g), F.lit(0))
+    return once(strengths, lambda s: once(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), lambda t: f(s, t)))
+
+
 def normalised(strengths: Column) -> Column:
     """Strengths over their sum; all zero where hardly anything fires."""
-    total = F.aggregate(strengths, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(strengths, lambda x: F.when(total <= ZERO_FIRING, 0.0).otherwise(x / total))
+    return _with_total(strengths, lambda s, t: F.transform(s, lambda x: F.when(t <= ZERO_FIRING, 0.0).otherwise(x / t)))
 
 
 def basis(x: Column, order: int, kind: str = "raw") -> list[Column]:
