@@ -302,3 +302,16 @@ def test_pipeline(spark):
     far = [i for i, s in sets.items() if all(jaccard(s, t) < 0.5 for j, t in sets.items() if i != j)]
     assert far and set(far) <= one  # documents without a near copy stay
     assert p.mix(spark, clean, TINY).where(F.col("copy") >= 3).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group_of_near_copies(spark):
+    """Repeated rows, one id with two texts, and null ids: each group of rows keeps exactly one."""
+    import corpus_pipeline as p
+
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c), (None, d), (None, e), (None, e), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        kept = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs.repartition(parts), TINY).collect()]
+        assert sorted(kept, key=lambda r: r[1]) == [(1, a), (2, b), (2, c), (None, d), (None, e)]
+    assert p.near_duplicates(spark, docs.limit(0), TINY).count() == 0
