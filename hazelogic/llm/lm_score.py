@@ -8,8 +8,7 @@ hashed classes. The network embeds the window (`SIDE` words to either side),
 has one hidden layer, and predicts a word in two steps, its group and its place
 in the group, so a prediction costs two small softmaxes. Training is
 distributed: in every round each task goes on from the shared weights over its
-own documents (a fixed share of all, by a hash of the id) and the weights are
-averaged by words seen.
+own documents, all of them, and the weights are averaged by words seen.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ GROUPS = 32
 HASHED, EDGE = 63, 0
 #: Words to either side, width of an embedding, hidden units.
 SIDE, WIDTH, HIDDEN = 2, 12, 24
-#: One document of SHARE trains, in ROUNDS rounds, STEP words to a gradient.
-SHARE, ROUNDS, STEP, RATE = 32, 2, 512, 0.15
+#: One document of SHARE trains (all of them), in ROUNDS rounds, STEP words to a gradient.
+SHARE, ROUNDS, STEP, RATE = 1, 2, 512, 0.15
 
 
 def words(text: str | None) -> list[str]:
@@ -62,6 +61,12 @@ def _counted(own: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["word", "n"])
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """np.add.at(to, at, rows) over flat places, for which numpy has a fast loop."""
+    width = to.shape[1]
+    np.add.at(to.reshape(-1), (at[:, None].astype(np.intp) * width + np.arange(width)).ravel(), rows.ravel())
+
+
 class Net:
     """Vocabulary and weights; EDGE and hashed classes come first, then words by count."""
 
@@ -118,10 +123,10 @@ class Net:
         wg += rate / n * (h.T @ da)
         bg += rate / n * da.sum(axis=0)
         wp += rate / n * (h.T @ db)
-        np.add.at(bp, group, rate / n * db)
+        _add_rows(bp, group, rate / n * db)
         w1 += rate / n * (x.T @ dh)
         b1 += rate / n * dh.sum(axis=0)
-        np.add.at(emb, around.ravel(), rate / n * dx)
+        _add_rows(emb, around.ravel(), rate / n * dx)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of words and summed log-probability of each text."""
@@ -150,7 +155,8 @@ class Net:
 def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> Net:
     """A network whose vocabulary counts all documents and whose weights one in `share` trains.
 
-    Both grow with the input. With nothing to train on, the starting weights stay.
+    By default every document trains. The network is of fixed size. With nothing
+    to train on, the starting weights stay.
     """
     counts = word_counts(docs, text_col)
     vocabulary = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(GROUPS * GROUPS).collect()]
@@ -165,18 +171,19 @@ def train(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, id_col: str
             edge, flow = np.full(SIDE, EDGE, np.int32), []
             own.weights = [w.copy() for w in own.weights]
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    found = words(t)
-                    if found:
-                        flow.append(np.concatenate([edge, own.ids(found), edge]))
-                if flow:
-                    ids = np.concatenate(flow)
-                    around, target = own.windows(ids), ids[SIDE:-SIDE]
-                    real = np.flatnonzero(target != EDGE)
-                    np.random.default_rng(seed).shuffle(real)
-                    for k in range(0, len(real), STEP):
-                        own.learn(around[real[k : k + STEP]], target[real[k : k + STEP]], rate * STEP**0.5)
-                    seen, flow = seen + len(real), []
+                texts = b.column(0).to_pylist()
+                for lo, hi in chunks(texts):
+                    for found in map(words, texts[lo:hi]):
+                        if found:
+                            flow.append(np.concatenate([edge, own.ids(found), edge]))
+                    if flow:
+                        ids = np.concatenate(flow)
+                        around, target = own.windows(ids), ids[SIDE:-SIDE]
+                        real = np.flatnonzero(target != EDGE)
+                        np.random.default_rng(seed).shuffle(real)
+                        for k in range(0, len(real), STEP):
+                            own.learn(around[real[k : k + STEP]], target[real[k : k + STEP]], rate * STEP**0.5)
+                        seen, flow = seen + len(real), []
             if seen:
                 flat = np.concatenate([w.ravel() for w in own.weights]).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], names=["i", "v"])

@@ -315,3 +315,16 @@ def test_pipeline_keeps_one_row_of_each_group_of_near_copies(spark):
         kept = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs.repartition(parts), TINY).collect()]
         assert sorted(kept, key=lambda r: r[1]) == [(1, a), (2, b), (2, c), (None, d), (None, e)]
     assert p.near_duplicates(spark, docs.limit(0), TINY).count() == 0
+
+
+def test_lm_trains_on_every_document(spark):
+    """A single document trains the network, whatever its id."""
+    start = lm_score.Net(["w1", "w2", "w3"])
+    for i in (None, 1, 2, 3):
+        net = lm_score.train(spark.createDataFrame([(i, "w1 w2 w3 " * 30)], "doc_id long, text string"))
+        assert net.index == start.index and not np.allclose(net.weights[0], start.weights[0])
+    to, at, rows = np.ones((5, 3), np.float32), np.array([4, 0, 4, 4]), np.arange(12, dtype=np.float32).reshape(4, 3)
+    want = to.copy()
+    np.add.at(want, at, rows)
+    lm_score._add_rows(to, at, rows)
+    assert (to == want).all()
