@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text handled at a time inside a Python worker; bounds the
 #: objects alive at once, never what is read.
@@ -23,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where neither that setting nor a checkpoint folder exists (local
-    tests) a temporary folder is made and set.
+    Only where neither that setting nor a checkpoint folder exists, and the
+    master is local (tests), a temporary folder is made and set. On a cluster
+    a missing setting raises: executors would write where nobody reads.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="hazelogic-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
@@ -64,6 +68,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_row(docs: DataFrame, names: tuple[str, ...] | None = None) -> Column:
+    """The columns `names` of `docs` (all by default) as one struct `row`: no name in it can clash."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in (docs.columns if names is None else names)]).alias("row")
+
+
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `limit` characters together, at least one row."""
     lo = total = 0

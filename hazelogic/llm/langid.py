@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import chunks
+from hazelogic.llm.common import as_row, chunks, materialise
 
 #: log2 of the number of buckets, and the orders of the n-grams.
 BITS, ORDERS = 16, (1, 2, 3)
-#: Most languages that a model may have: with BITS it bounds the matrix (64 MB of float32).
-MAX_LANGS = 256
+#: Languages in one broadcast matrix (16 MB of float32); more languages take several, one after another.
+BLOCK = 64
+#: Sampled documents that one task counts.
+PER_TASK = 1_000
 #: Documents of a language that training takes about, chosen by a hash of the id.
 PER_LANG = 4_000
 UND = "und"
@@ -64,33 +66,52 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row[: len(h)][same], x >> np.uint32(32 - BITS)
 
 
+def joint(log_p: np.ndarray, prior: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Log joint probability of each text and language, and the n-grams of each text."""
+    total, count = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
+    for row, bucket in ngrams(texts):
+        if not len(row):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        for k in range(len(log_p)):
+            total[row[first], k] += np.add.reduceat(log_p[k][bucket], first, dtype=np.float64)
+        count += np.bincount(row, minlength=len(texts))
+    return total, count
+
+
 class Model:
-    """Languages in order and the log-probabilities of their buckets and of themselves."""
-
-    def __init__(self, langs: list[str], log_p: np.ndarray, prior: np.ndarray):
-        self.langs, self.log_p, self.prior = langs, log_p, prior
-
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log joint probability of each text and language, and the n-grams of each text."""
-        total, count = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
-        for row, bucket in ngrams(texts):
-            if not len(row):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            for k in range(len(self.langs)):
-                total[row[first], k] += np.add.reduceat(self.log_p[k][bucket], first, dtype=np.float64)
-            count += np.bincount(row, minlength=len(texts))
-        return total, count
+    """Languages in order, their log priors, and blocks of their log-probabilities by bucket."""
+
+    def __init__(self, langs: list[str], blocks: list[np.ndarray], prior: np.ndarray):
+        self.langs, self.blocks, self.prior = langs, blocks, prior
+
+    def parts(self) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Names, matrix and priors of each block."""
+        at = np.cumsum([0, *map(len, self.blocks)])
+        return [(self.langs[lo : lo + len(m)], m, self.prior[lo : lo + len(m)]) for lo, m in zip(at, self.blocks, strict=False)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language and its posterior; `und` and 0 where no letter stands."""
-        if not self.langs:
-            return [UND] * len(texts), [0.0] * len(texts)
-        total, count = self.scores(texts)
-        best = total.argmax(axis=1)
-        post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        seen = count > 0
-        return [self.langs[b] if s else UND for b, s in zip(best, seen, strict=True)], [float(p) if s else 0.0 for p, s in zip(post, seen, strict=True)]
+        best = [None] * len(texts), np.full(len(texts), -np.inf), np.full(len(texts), -np.inf)
+        for part in self.parts():
+            best = _better(part, texts, *best)
+        return _verdict(*best)
+
+
+def _better(part, texts: list[str | None], lang: list, top: np.ndarray, mass: np.ndarray):
+    """Goes on from the best language, its log joint probability and the log of the sum of all."""
+    names, log_p, prior = part
+    total, count = joint(log_p, prior, texts)
+    seen = count > 0
+    own = total.argmax(axis=1)
+    high = total[np.arange(len(texts)), own]
+    lang = [names[k] if s and h > t else x for x, k, s, h, t in zip(lang, own, seen, high, top, strict=True)]
+    mass = np.where(seen, np.logaddexp(mass, high + np.log(np.exp(total - high[:, None]).sum(axis=1))), mass)
+    return lang, np.where(seen, np.maximum(top, high), top), mass
+
+
+def _verdict(lang: list, top: np.ndarray, mass: np.ndarray) -> tuple[list[str], list[float]]:
+    return [UND if x is None else x for x in lang], [0.0 if x is None else min(1.0, float(np.exp(t - m))) for x, t, m in zip(lang, top, mass, strict=True)]
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -102,59 +123,94 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, alpha: float = 0.1, id_col:
     """A model from the rows with a language that aren't held out.
 
     Class shares come from all those rows, n-gram counts from about `per_lang`
-    documents of each language with their whole texts. Rows of null text or
-    language teach nothing. More than `MAX_LANGS` languages are refused.
+    documents of each language with their whole texts; those few are dealt out
+    evenly, so the scan keeps its own tasks. Rows of null text or language
+    teach nothing; repeated rows count as often as they stand; an empty table
+    gives a model that knows no language. The driver gets a row per language
+    and, a block of languages at a time, their counts by bucket.
     """
     rows = docs.where(~held_out(id_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    shares = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(shares) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    shares = rows.groupBy("lang").count().orderBy("lang").collect()
     langs = [r.lang for r in shares]
     if not langs:
-        return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    part = F.create_map(*[F.lit(x) for r in shares for x in (r.lang, min(1.0, per_lang / r["count"]))])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(part, F.col("lang")) * 1_000_000)
-    place = {x: i for i, x in enumerate(langs)}
+        return Model([], [], np.zeros(0))
+    spark = docs.sparkSession
+    # from Arrow it is a local relation, whose size Spark knows
+    part = spark.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "place": pa.array(range(len(langs)), pa.int32()), "part": [min(1.0, per_lang / r["count"]) for r in shares]}))
+    sample = rows.join(part, "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.col("part") * 1_000_000)
+    taken = sum(min(r["count"], per_lang) for r in shares)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(place), 1 << BITS), np.int64)
+        own, held = [], 0
         for b in batches:
-            lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
-            texts = b.column(1).to_pylist()
+            place, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 for row, bucket in ngrams(texts[lo:hi]):
-                    counts += np.bincount(lang[lo:hi][row] << BITS | bucket, minlength=counts.size).reshape(counts.shape)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
-
-    # few tasks, so that each sends its counts once: a task's share of the sample is small
-    sums = sample.select("lang", "text").coalesce(16).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(langs) << BITS)
-    got = sums.toArrow()
-    counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    counts = counts.reshape(len(langs), 1 << BITS) + alpha
+                    own.append(np.unique(place[lo:hi][row].astype(np.int64) << BITS | bucket, return_counts=True))
+                    held += len(own[-1][0])
+                if held > 2_000_000:
+                    own = [_summed(own)]
+                    held = len(own[0][0])
+                    if held > 1_000_000:
+                        yield _cells(own.pop())
+                        held = 0
+        if own:
+            yield _cells(_summed(own))
+
+    dealt = sample.select("place", "text").repartition(max(1, -(-taken // PER_TASK)))
+    sums = dealt.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "ngrams")
+    blocks = []
+    for lo in range(0, len(langs), BLOCK):
+        got = sums.where((F.col("at") >= lo << BITS) & (F.col("at") < (lo + BLOCK) << BITS)).toArrow()
+        counts = np.zeros(min(BLOCK, len(langs) - lo) << BITS)
+        counts[got.column("at").to_numpy() - (lo << BITS)] = got.column("n").to_numpy()
+        counts = counts.reshape(-1, 1 << BITS) + alpha
+        blocks.append(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
     total = np.array([r["count"] for r in shares], float)
-    return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(total / total.sum()))
+    return Model(langs, blocks, np.log(total / total.sum()))
+
+
+def _summed(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, where = np.unique(np.concatenate([a for a, _ in own]), return_inverse=True)
+    return at, np.bincount(where, np.concatenate([n for _, n in own]), len(at)).astype(np.int64)
+
+
+def _cells(own: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int64()), pa.array(own[1], pa.int64())], names=["at", "n"])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `carry` with lang_pred and score (the posterior of lang_pred).
+    """row (a struct of the columns `carry`, of any names), lang_pred and score, its posterior.
 
     Null texts and texts without a letter are `und` with score 0, and so is
-    everything where nothing was learned. Whole texts are read, and nothing
-    else of a row. Repeated rows and an empty table need no care.
+    everything where nothing was learned. Whole texts are read. Of languages
+    equally likely the first in order wins. Repeated rows are each returned;
+    an empty table gives an empty result. A text passes the matrices of its
+    model's blocks one after another; one holds at most `BLOCK` languages.
     """
-    given = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS x 2^BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = given.value
-        for b in batches:
-            texts, lang, score = b.column(0).to_pylist(), [], []
-            for lo, hi in chunks(texts, 500_000):
-                x, y = m.predict(texts[lo:hi])
-                lang, score = lang + x, score + y
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
-
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return docs.select(F.col(text_col).alias("__text"), *carry).mapInArrow(run, f"{kept}lang_pred string, score double")
+    sc = docs.sparkSession.sparkContext
+    given = [sc.broadcast(p) for p in model.parts()]
+    names, kind = ("row", "text", "lang", "top", "mass"), f"row {docs.select(as_row(docs, carry)).schema['row'].dataType.simpleString()}"
+    rows = docs.select(as_row(docs, carry), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(-float("inf")).alias("top"), F.lit(-float("inf")).alias("mass"))
+    for k, part in enumerate(given or [None]):
+        last = k >= len(given) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, last=last) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, lang, top, mass = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_numpy(), b.column(4).to_numpy()
+                out = [[], [], []]
+                for lo, hi in chunks(texts, 500_000):
+                    got = lang[lo:hi], top[lo:hi], mass[lo:hi]
+                    for x, y in zip(out, got if part is None else _better(part.value, texts[lo:hi], *got), strict=True):
+                        x.extend(y)
+                lang, top, mass = out[0], np.array(out[1], float), np.array(out[2], float)
+                if last:
+                    lang, score = _verdict(lang, top, mass)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(top), pa.array(mass)], names=names)
+
+        rows = rows.mapInArrow(run, f"{kind}, lang_pred string, score double" if last else f"{kind}, text string, lang string, top double, mass double")
+    return rows
