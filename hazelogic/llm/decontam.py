@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import ascii_lower
+from hazelogic.llm.common import as_row, ascii_lower
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Characters of item texts that one automaton is built from. A window repeats
@@ -84,27 +84,27 @@ def _matcher(items: tuple, size: int) -> Matcher:
     return Matcher(list(items), size)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Which words of each document stand in a window of a test item.
 
-    Returns per row of `docs`: doc_id, n_words, n_hit (words inside any
-    occurrence of a window), items (array of matched item ids as strings,
-    sorted), spans (array of the begin and end of each hit run in characters
-    of the original text), and the columns named in `carry`.
+    Returns per row of `docs`: row (a struct of the columns `carry`, of any
+    names and types), n_words, n_hit (words inside any occurrence of a window),
+    items (array of matched item ids as strings, sorted), spans (array of the
+    begin and end of each hit run in characters of the original text).
 
     Null and empty texts have no words and no hits. An item of null id is
     matched but not listed; equal windows of several items count for each of
     them; repeated rows of items change nothing; repeated documents are each
-    returned. With no items nothing is hit. Other columns are not read.
+    returned. With no items nothing is hit; an empty table of documents gives
+    an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     own = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, ceil(total / block_chars))
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.array().cast("array<int>").alias("__hit"), F.array().cast("array<string>").alias("items"), *carry)
-    between, after = f"doc_id {kind}, __text string, __hit array<int>, items array<string>{kept}", f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<`begin`:long,`end`:long>>{kept}"
+    rows = docs.select(as_row(docs, carry), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}"
+    between, after = f"{kind}, text string, hit array<int>, items array<string>", f"{kind}, n_words long, n_hit long, items array<string>, spans array<struct<`begin`:long,`end`:long>>"
     for k in range(n):
         block = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text")
         given = spark.sparkContext.broadcast(tuple((r.item, r.text) for r in block.collect()))  # of about block_chars
@@ -135,17 +135,17 @@ def _scanner(given, size: int, last: bool):
                 n_hit.append(sum(hi - lo for lo, hi in ranges))
                 spans.append([{"begin": at[lo][0], "end": at[hi - 1][1]} for lo, hi in ranges])
             if last:
-                cols = {"doc_id": b.column(0), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS)}
+                cols = {"row": b.column(0), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS)}
             else:
-                cols = {"doc_id": b.column(0), "__text": b.column(1), "__hit": pa.array(hit, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([*cols.values(), *b.columns[4:]], names=[*cols, *b.schema.names[4:]])
+                cols = {"row": b.column(0), "text": b.column(1), "hit": pa.array(hit, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
 
     return run
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The fixed digest columns of a result of `find_contamination`."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def items_digest(items: list[str]) -> str:

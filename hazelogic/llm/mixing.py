@@ -7,9 +7,10 @@ document once. The order goes by size, so what a source takes differs from its
 target by about one document's words.
 
 Ranks are found without gathering a source: counts by (source, size class),
-then by (source, class, hash bin), then row numbers inside a bin, with about as
-many bins as rows in a bin. A source, a size or a group of copies that holds a
-third of all rows is dealt over all tasks.
+then by (source, class, hash bin), then by id inside a bin, then row numbers
+inside the parts that rows of one id and size are dealt into; there are about as
+many bins as rows in a bin. A source, a size, an id or a group of copies that
+holds a third of all rows is dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import materialise
+from hazelogic.llm.common import as_row, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The random offset is a multiple of this part of 1, so sums with whole numbers are exact.
@@ -67,16 +68,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Da
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
-    """All columns of `docs` with source_size, target and copies.
+    """row (a struct of all columns of `docs`, of any names), source_size, target and copies.
 
     copies is how often the mix takes the row, at most `ceil(cap)`. Rows of
     null source are a source of their own, in last place; rows of size 0 count
     as documents but add nothing; repeated rows are taken each for itself, and
-    swapping equal rows changes nothing. A source of size 0 takes none of its
-    rows. The result depends on the rows alone, not on their partitions. Extra
-    columns of any name pass through. An empty table gives an empty result.
+    swapping equal rows changes nothing. Ids of any type and null ids are
+    ordered by a digest of their text; rows of one id, source and size by a
+    hash of the whole row, which also deals them out, so an id that very many
+    rows share is numbered in parts. A source of size 0 takes none of its rows.
+    The result depends on the rows alone, not on their partitions. An empty
+    table gives an empty result.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     bits = F.length(F.bin(size))
     keyed = docs.select(
@@ -85,29 +88,34 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
         F.when(size < 32, size).otherwise((bits - 5) * 16 + F.call_function("shiftright", size, bits - 5)).alias("class"),
         _hash32(F.col(id_col).cast("string")).alias("h"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
-        row.alias("row"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mark"),
+        as_row(docs),
     )
-    narrow = materialise(keyed.groupBy("key", "class", "h").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "mix")
+    narrow = materialise(keyed.groupBy("key", "class", "h", "id", "n", "mark").agg(F.count("*").alias("m")), "mix")
     rows = narrow.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     bins = max(1, ceil(sqrt(rows)))
     a_bin = F.floor(F.col("h") * F.lit(bins) / F.lit(float(1 << 32))).alias("bin")
-    cells = narrow.groupBy("key", "class", a_bin).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    part = F.pmod(F.col("mark"), F.lit(bins)).alias("part")
+    ties = narrow.groupBy("key", "class", a_bin, "h", "id", "n", part).agg(F.sum("m").alias("m"))
+    cells = ties.groupBy("key", "class", "bin").agg(F.sum("m").alias("m"))
     inside = Window.partitionBy("key", "class").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0)))
-    classes = narrow.groupBy("key", "class").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).drop("m")
+    classes = narrow.groupBy("key", "class").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("n")).alias("n"))
     below = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     src = source_targets(classes.groupBy("key").agg(F.sum("n").alias("source_size")), weights, cap)
     start = classes.select("key", "class", F.coalesce(F.sum("m").over(below), F.lit(0)).alias("start")).join(src, "key")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key"))), 1, 5), 16, 10).cast("double") / OFFSET_STEPS
-    given = cells.join(start, ["key", "class"]).select(
-        "key", "class", "bin", "source_size", "target", (F.col("start") + F.col("before")).alias("first"),
+    tied = Window.partitionBy("key", "class", "bin").orderBy("h", "id", "n", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.withColumn("above", F.coalesce(F.sum("m").over(tied), F.lit(0)))
+    given = ties.join(cells, ["key", "class", "bin"]).join(start, ["key", "class"]).select(
+        "key", "class", "bin", "h", "id", F.col("n").alias("n"), "part", "source_size", "target", (F.col("start") + F.col("before") + F.col("above")).alias("first"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), offset.alias("u"),
     )
-    order = Window.partitionBy("key", "class", "bin").orderBy("h", "id", "n")
-    placed = keyed.withColumn("bin", a_bin).withColumn("place", F.row_number().over(order)).join(given, ["key", "class", "bin"])
+    own = ["key", "class", "bin", "h", "id", "n", "part"]
+    placed = keyed.withColumns({"bin": a_bin, "part": part}).withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy("mark"))).join(given, own)
     rank = F.col("first") + F.col("place")
     copies = F.floor(F.col("u") + rank * F.col("rate")) - F.floor(F.col("u") + (rank - 1) * F.col("rate"))
-    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "source_size", "target", copies.cast("long").alias("copies"))
+    return placed.select("row", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def emit(planned: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     docs = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
     plan = mixing.plan_mix(docs)
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return plan.select("row.doc_id", "row.size", "source_size", "target", (F.col("copies") * F.col("row.size")).alias("taken"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.identify(docs, langid.train(docs))
-    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
