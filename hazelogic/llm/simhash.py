@@ -11,13 +11,15 @@ gives the links of a spanning forest, never all its pairs. Links between
 buckets meet in a distributed connected-components run over fingerprints.
 
 `near_copies` takes the same join to texts of Jaccard similarity 0.8, where
-four bits of 64 find next to nothing: see `Wide`.
+four bits of 64 find next to nothing, and compares what it finds exactly: see
+`Wide`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import combinations
 from math import acos, ceil, comb, log, log2, pi
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import materialise
+from hazelogic.llm.common import as_row, materialise
 
 BITS = 64
 #: Pairs handled in one numpy step, and rows joined at a time; these bound memory only.
@@ -76,21 +78,16 @@ def _mixed(x: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, seed: int) -> list[int]:
-    """Four fingerprints, 256 bits together, of the set of a text's shingles."""
-    values = np.unique(shingle_hashes(text, shingle, seed))
-    return [majority(values), *(majority(_mixed(values, i)) for i in (1, 2, 3))]
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+    """doc_id (of its own type) and fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- the trie join
@@ -155,19 +152,59 @@ class Forest:
         return (c[a[1] - 1] == c[a[0]]) & (c[b[1] - 1] == c[b[0]]) & (self.label[a[0]] == self.label[b[0]])
 
 
-def trie_join(fp: np.ndarray, starts: np.ndarray, k: int, more: np.ndarray | None = None, k_all: int = 0) -> np.ndarray:
+class Found:
+    """Pairs of rows to look at again: one for each pair of labels, of rows that really are that near."""
+
+    def __init__(self, unite: bool, i: list | None = None, j: list | None = None):
+        self.unite, self.i, self.j, self.done = unite, i or [], j or [], np.zeros(0, np.int64)
+
+    def code(self, forest: Forest, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = forest.label[i], forest.label[j]
+        return np.minimum(a, b) * len(forest.label) + np.maximum(a, b)
+
+    def add(self, forest: Forest, i: np.ndarray, j: np.ndarray) -> None:
+        new = forest.label[i] != forest.label[j]
+        i, j = i[new], j[new]
+        code, first = np.unique(self.code(forest, i, j), return_index=True)
+        first = first[~np.isin(code, self.done)]
+        self.i.append(i[first])
+        self.j.append(j[first])
+        if self.unite:
+            forest.link(i, j)
+        else:
+            self.done = np.union1d(self.done, code)
+
+
+def trie_join(fp: np.ndarray, starts: np.ndarray, k: int, more: np.ndarray | None = None, k_all: int = 0, forest: Forest | None = None, found: Found | None = None) -> np.ndarray:
     """For each row the least row it is linked to inside its bucket.
 
-    fp: unsigned fingerprints, ascending and distinct inside each bucket;
-    starts: where the buckets begin, and the number of rows. With `more`
-    (further bits, a row of words for each fingerprint) a link also needs at
-    most k_all differing bits in all.
+    fp: unsigned fingerprints, ascending inside each bucket, and distinct there
+    unless `more` is given; starts: where the buckets begin, and the number of
+    rows. With `more` (further bits, a row of words for each fingerprint) a
+    link also needs at most k_all differing bits in all. Fingerprints equal in
+    their first word are compared with the first of them and their neighbour.
+    `found` gathers the pairs that make links; where it does not unite, pairs
+    are noted once for each two labels and nothing is linked.
     """
-    forest = Forest(len(fp))
+    forest = forest or Forest(len(fp))
     size = np.diff(starts)
     many = size > 1
     first = np.stack([starts[:-1][many], starts[1:][many]])
     stack = [(first[:, at : at + STEP_PAIRS // DIRECT], None) for at in range(0, first.shape[1], STEP_PAIRS // DIRECT)]
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= k)
+        i, j = i[hit], j[hit]
+        if more is not None:
+            both = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1) <= k_all
+            i, j = i[both], j[both]
+        if not len(i):
+            return
+        if found is None:
+            forest.link(i, j)
+        else:
+            found.add(forest, i, j)
+
     while stack:
         a, b = stack.pop()
         alone = b is None  # a node with itself
@@ -176,28 +213,33 @@ def trie_join(fp: np.ndarray, starts: np.ndarray, k: int, more: np.ndarray | Non
             a = b = a[:, open_]
         else:
             open_ = ~forest.joined(a, b)
+            if found is not None and len(found.done):
+                open_ &= ~(forest.joined(a, a) & forest.joined(b, b) & np.isin(found.code(forest, a[0], b[0]), found.done))
             a, b = a[:, open_], b[:, open_]
             under = _below(fp[a[0]] ^ fp[a[1] - 1]) | _below(fp[b[0]] ^ fp[b[1] - 1])
             far = np.bitwise_count((fp[a[0]] ^ fp[b[0]]) & ~under)
             a, b, under, far = (x[..., far <= k] for x in (a, b, under, far))
-            near = (far + np.bitwise_count(under) <= k) & (more is None)  # whatever the bits below are
-            if near.any():
-                i, j = _expand(np.stack([a[0], a[1]])[:, near], np.stack([b[0], b[0] + 1])[:, near])
-                x, y = _expand(np.stack([a[0], a[0] + 1])[:, near], np.stack([b[0], b[1]])[:, near])
+            sure = (far + np.bitwise_count(under) <= k) & (more is None)  # whatever the bits below are
+            if sure.any():
+                i, j = _expand(np.stack([a[0], a[1]])[:, sure], np.stack([b[0], b[0] + 1])[:, sure])
+                x, y = _expand(np.stack([a[0], a[0] + 1])[:, sure], np.stack([b[0], b[1]])[:, sure])
                 forest.link(np.concatenate([i, x]), np.concatenate([j, y]))
-                a, b = a[:, ~near], b[:, ~near]
+                a, b = a[:, ~sure], b[:, ~sure]
         if not a.shape[1]:
             continue
         small = (a[1] - a[0]) * (b[1] - b[0]) <= DIRECT
         if small.any():
-            i, j = _expand(a[:, small], b[:, small])
-            hit = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= k)
-            i, j = i[hit], j[hit]
-            if more is not None:
-                both = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1) <= k_all
-                i, j = i[both], j[both]
-            forest.link(i, j)
+            near(*_expand(a[:, small], b[:, small]))
             a, b = a[:, ~small], b[:, ~small]
+        flat = (fp[a[0]] == fp[a[1] - 1]) & (fp[b[0]] == fp[b[1] - 1])
+        if flat.any():  # nothing to descend into
+            u, v = a[:, flat], b[:, flat]
+            i, j = _expand(u, np.stack([v[0], v[0] + 1]))
+            x, y = _expand(np.stack([u[0], u[0] + 1]), v)
+            near(np.concatenate([i, x]), np.concatenate([j, y]))
+            if alone:
+                near(i, np.minimum(i + 1, np.repeat(u[1] - 1, u[1] - u[0])))
+            a, b = a[:, ~flat], b[:, ~flat]
         if not a.shape[1]:
             continue
         if alone:
@@ -233,17 +275,30 @@ def _children(fp: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([a[0], lo]), np.stack([lo, a[1]])
 
 
-def _bucket_links(k: int, k_all: int = 0):
-    """Links of buckets from batches of (c, key, fp, rep) and, for wide fingerprints, more words."""
+def _bucket_links(k: int, levels: tuple[int, ...] = ()):
+    """Links of buckets from batches of (c, key, fp, rep) and, for wide fingerprints, more words.
+
+    With `levels`, budgets of wide fingerprints in ascending order, the pairs
+    are those that unite groups level by level, and at the last level one for
+    each two groups; every pair is of rows that near.
+    """
 
     def links(c: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
         new = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1
         starts = np.concatenate(([0], new, [len(fp)]))
-        order = np.lexsort((fp, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        order = np.lexsort((*reversed(more), fp, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
         fp, rep = fp[order], rep[order]
-        label = trie_join(fp, starts, k, np.stack(more, axis=1)[order].view(np.uint64) if more else None, k_all)
-        i = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[label[i]])], names=["a", "b"]) if len(i) else None
+        if not levels:
+            label = trie_join(fp, starts, k)
+            i = np.flatnonzero(label != np.arange(len(label)))
+            j = label[i]
+        else:
+            words, forest, found = np.stack(more, axis=1)[order].view(np.uint64), Forest(len(fp)), None
+            for level in levels:
+                found = Found(level != levels[-1], *((found.i, found.j) if found else ()))
+                trie_join(fp, starts, min(k, level), words, level, forest, found)
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found.i, found.j))
+        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -269,17 +324,18 @@ def _bucket_links(k: int, k_all: int = 0):
 
 
 def similar_pairs(classes: DataFrame, k: int = 4) -> DataFrame:
-    """Links (a, b) between ids of distinct fingerprints, a spanning forest of each bucket.
+    """Links (a, b) between the distinct fingerprints `fp`, a spanning forest of each bucket.
 
-    `classes`: one row per distinct fp (signed long) with an id `rep`. Two
-    fingerprints of at most k differing bits end up connected through links;
-    every link is between such fingerprints or the root of what they connect.
+    Two fingerprints of at most k differing bits end up connected through
+    links; every link is between such fingerprints or the root of what they
+    connect.
     """
     masks = block_masks(classes.count(), k)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)]))
-    rows = classes.select(keys.alias("k"), "fp", "rep").select("k.c", "k.key", "fp", "rep")
-    return rows.repartition("c", "key").sortWithinPartitions("c", "key").mapInArrow(_bucket_links(k), "a long, b long").distinct()
+    rows = classes.select(keys.alias("k"), "fp").select("k.c", "k.key", "fp")
+    dealt = rows.repartition("c", "key").sortWithinPartitions("c", "key").select("c", "key", "fp", F.col("fp").alias("rep"))
+    return dealt.mapInArrow(_bucket_links(k), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- components
@@ -314,28 +370,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 4
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the smallest doc_id reachable over links of at most k
-    differing bits, the document itself included. Null and empty texts have
-    fingerprint zero and link like any other; repeated rows are each returned;
-    rows of null id take part, but name no component unless no row there has an
-    id. Other columns are not read; an empty table gives an empty result.
+    differing bits, the document itself included; ids keep their type. Null
+    and empty texts have fingerprint zero and link like any other; repeated
+    rows are each returned; rows of null id take part, but name no component
+    unless no row there has an id (it is null then). Other columns are not
+    read; an empty table gives an empty result.
     """
     prints = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(similar_pairs(_named(classes), k))
-    known = _named(classes).join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
-    known = known.withColumn("component_id", F.when(F.col("component_id") == _NO_ID, F.lit(None)).otherwise(F.col("component_id")))
+    roots = components(similar_pairs(classes, k))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "rep")
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = rooted.drop("rep").join(named, "root").drop("root")
     out = prints.join(known, F.col("fp") == F.col("f"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Stands for a class none of whose rows has an id; the last of all ids.
-_NO_ID = (1 << 63) - 1
-
-
-def _named(classes: DataFrame) -> DataFrame:
-    return classes.select("fp", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"))
-
-
 # ---------------------------------------------------------------- near copies by similarity
 
 
@@ -344,64 +394,100 @@ class Wide:
     """How `near_copies` finds texts of a Jaccard similarity.
 
     Sets of similarity J differ in a share p = arccos(2J / (1 + J)) / pi of the
-    bits, which is 39 of 256 at 0.8. Keys are samples of `key_bits` of the 256
+    bits, which is 38 of 256 at 0.8. Keys are samples of `key_bits` of the 256
     bits, as many as make two texts at `similarity` meet in a bucket with
-    probability `meet`; in a bucket the trie join prunes at `first_budget` of
-    the first 64 bits and links at `budget` of 256. Both budgets are set from p
-    by deviations of the binomial: 3 and 1.25.
+    probability `meet`, however many texts there are; in a bucket the trie join
+    prunes at `first_budget` of the first 64 bits and takes pairs of up to
+    `budget` of 256 as candidates. Both budgets are p and three deviations of
+    the binomial. Candidates are then compared exactly.
     """
 
     similarity: float = 0.8
-    meet: float = 0.95
+    meet: float = 0.99
     seed: int = 42
 
     @property
     def p(self) -> float:
         return acos(2 * self.similarity / (1 + self.similarity)) / pi
 
-    def _budget(self, bits: int, deviations: float) -> int:
-        return round(bits * self.p + deviations * (bits * self.p * (1 - self.p)) ** 0.5)
+    def _budget(self, bits: int) -> int:
+        return round(bits * self.p + 3 * (bits * self.p * (1 - self.p)) ** 0.5)
 
     @property
     def first_budget(self) -> int:
-        return self._budget(BITS, 3)
+        return self._budget(BITS)
 
     @property
     def budget(self) -> int:
-        return self._budget(4 * BITS, 1.25)
+        return self._budget(4 * BITS)
+
+    @property
+    def levels(self) -> tuple[int, ...]:
+        return (self.budget // 4, self.budget // 2, self.budget)
 
     def masks(self, n: int) -> list[tuple[int, int]]:
         """(word, mask) of each key; keys get longer, and more, beyond 256 texts a bucket."""
-        key_bits = max(16, ceil(log2(max(n, 1))) - 8)
+        key_bits = max(12, ceil(log2(max(n, 1))) - 8)
         tables = ceil(log(1 - self.meet) / log(1 - (1 - self.p) ** key_bits))
         rng = np.random.default_rng(self.seed)
         return [(t % 4, sum(1 << int(i) for i in rng.choice(BITS, key_bits, replace=False))) for t in range(tables)]
 
 
-def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every row, linked by similarity of the shingle sets.
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-    Texts of equal first fingerprints are one class; classes are linked by the
-    trie join of their 256 bits (see `Wide`). The test is on bits alone, so
-    texts a little below the similarity may be linked and a few above it may
-    be missed. Rows without words (null, empty) are one class; null ids,
-    repeated rows, other columns and empty tables are as in `near_duplicates`.
+
+def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (row, a struct of all columns of any names, and key) and groups (key and component).
+
+    Rows get a key of their own, written once, so ids play no part: null and
+    repeated ids and wholly repeated rows count as rows like any other.
+    component is the least key reachable over links between rows whose sets of
+    word shingles have at least the similarity; rows of equal sets, and all
+    rows without words (null, empty), are linked. Candidates come from the
+    trie join of 256 bits (see `Wide`), one pair for each two groups of a
+    bucket, and become links only if their sets, compared in full, are that
+    similar. Whole texts are read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([wide_fingerprint(t, shingle, how.seed) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=["doc_id", "fp", "w1", "w2", "w3"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialise(rows.mapInArrow(run, "doc_id long, fp long, w1 long, w2 long, w3 long"), "fingerprints")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "w1", "w2", "w3")).alias("m")
-    classes = materialise(prints.groupBy("fp").agg(least).select("fp", "m.*"), "classes")
+            sets = [np.unique(shingle_hashes(t, shingle, how.seed)) for t in b.column(1).to_pylist()]
+            fp = np.array([[majority(v), *(majority(_mixed(v, i)) for i in (1, 2, 3))] for v in sets], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            mark = pa.array([sha256(v.tobytes()).digest()[:16] for v in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), mark, *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=["key", "mark", "fp", "w1", "w2", "w3"])
+
+    rows = materialise(docs.select(as_row(docs), F.monotonically_increasing_id().alias("key")), "rows")
+    texts = rows.select("key", F.col(f"row.`{text_col}`").alias("text"))
+    prints = materialise(texts.mapInArrow(run, "key long, mark binary, fp long, w1 long, w2 long, w3 long"), "fingerprints")
+    classes = materialise(prints.groupBy("mark").agg(F.min(F.struct(F.col("key").alias("rep"), "fp", "w1", "w2", "w3")).alias("m")).select("mark", "m.*"), "classes")
     words = ["fp", "w1", "w2", "w3"]
-    keys = [F.struct(F.lit(c).alias("c"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for c, (w, m) in enumerate(how.masks(classes.count()))]
-    keyed = classes.select(F.explode(F.array(*keys)).alias("k"), *words, "rep").select("k.c", "k.key", "fp", "rep", "w1", "w2", "w3")
-    links = keyed.repartition("c", "key").sortWithinPartitions("c", "key").mapInArrow(_bucket_links(how.first_budget, how.budget), "a long, b long")
-    roots = components(links.distinct())
-    known = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
-    known = known.withColumn("component_id", F.when(F.col("component_id") == _NO_ID, F.lit(None)).otherwise(F.col("component_id")))
-    return prints.select("doc_id", "fp").join(known, F.col("fp") == F.col("f")).select("doc_id", "component_id")
+    keys = [F.struct(F.lit(c).alias("c"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("k")) for c, (w, m) in enumerate(how.masks(classes.count()))]
+    keyed = classes.select(F.explode(F.array(*keys)).alias("k"), *words, "rep").select("k.c", "k.k", "fp", "rep", "w1", "w2", "w3")
+    pairs = keyed.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_bucket_links(how.first_budget, how.levels), "a long, b long")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    roots = components(similar(pairs, texts, how, shingle))
+    rooted = classes.join(roots, F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("root", "rep").alias("component"))
+    return rows, prints.select("key", "mark").join(rooted, "mark").drop("mark")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, how: Wide, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose texts, given as key and text, are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: dict[int, np.ndarray] = {}
+            keep = []
+            for i, j, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for k, t in ((i, x), (j, y)):
+                    if k not in held:
+                        held[k] = np.unique(shingle_hashes(t, shingle, how.seed))
+                keep.append(similarity(held[i], held[j]) >= how.similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = materialise(texts.join(need, "key", "left_semi"), "candidate-texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
