@@ -1,11 +1,15 @@
 """Main-text extraction: a linear-chain CRF over the leaf blocks of a page.
 
-A tolerant scanner cuts a page into leaf blocks: runs of text between tags that
-begin or end a block, each with its ancestor tags. Features of the ancestors
-(their names and the words of their class, id and role) and of the text feed a
-conditional random field of two labels, boilerplate and content. It is trained
-in numpy on labelled pages and decoded by Viterbi. The pages come from
-`labelled_pages`, which lays out articles among the usual furniture in many
+A tolerant scanner builds a page's elements and cuts it into leaf blocks: runs
+of text between tags that begin or end a block. Features of a block's ancestors
+(their names and the words of their class, id and role) and of its text feed a
+conditional random field of two labels, boilerplate and content. Words of
+ancestors count by where they stand, on the two innermost elements or further
+out, and not at all on the page's frame, the elements around its core (`main`,
+the longest `article`, or else what holds most of the text): what a frame is
+called says little about a paragraph. The field is trained in numpy on
+labelled pages and decoded by Viterbi. The pages come from `labelled_pages`,
+which lays out articles with and without furniture and wrappers in many
 templates, so their labels are exact.
 """
 
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -28,125 +33,150 @@ _TAG = re.compile(r"<(?:!--(?:.*?-->|.*)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|[!?
 #: The same where quotes don't match: a tag then ends at the next `>`.
 _LOOSE = re.compile(r"<(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>[^>]*)(?:>|$)")
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg math textarea select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that run to their own end tag, or to the end of the page.
+RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
+#: Elements whose content no reader sees; they end with an ancestor at the latest.
+UNSEEN = frozenset("template svg select canvas audio video noscript datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mi mn mo mrow msub msup object q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An opening tag of the key ends the open ones of the value, as far as the next container.
 _P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: An opening tag of the key ends the open ones of the value, as far as the next container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div article section main body html td th aside nav form".split())
 
 
 class Block:
-    """A leaf block: its text, its share of linked characters, and its ancestors."""
+    """A leaf block: its text, its share of linked characters, and its element's number in the page."""
 
-    __slots__ = ("text", "linked", "path", "marks")
+    __slots__ = ("text", "linked", "at")
 
-    def __init__(self, text: str, linked: float, path: tuple[str, ...], marks: frozenset[str]):
-        self.text, self.linked, self.path, self.marks = text, linked, path, marks
+    def __init__(self, text: str, linked: float, at: int):
+        self.text, self.linked, self.at = text, linked, at
 
 
-def _marks(attrs: str) -> tuple[str, ...]:
-    out: list[str] = []
-    for k, *v in _ATTR.findall(attrs):
-        k, v = k.lower(), next((x for x in v if x), "")
-        if k in ("class", "id", "role", "itemprop", "aria-label"):
-            out += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())
-        elif k == "hidden" or k == "style" and re.search(r"display\s*:\s*none", v):
-            out.append("hidden")
-        elif k == "aria-hidden" and v == "true":
-            out.append("hidden")
-    return tuple(out)
-
-
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; none for null and empty pages.
+class Page:
+    """The elements of a page, each with its parent's number, name and words of class, id and role.
 
-    Unclosed and crossed tags are taken as browsers mostly do; an unclosed
-    comment or script hides the rest of the page.
+    Element 0 stands for the page. Parents come before their children, so one
+    pass over the lists reaches all ancestors: nothing is kept by block and
+    ancestor, and deep pages take memory in proportion to their tags.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    text: list[str] = []
-    linked = 0
-    html, at, size = page or "", 0, len(page or "")
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            got = " ".join(unescape("".join(text)).split())
-            if got:
-                path = tuple(t for t, _ in stack)
-                out.append(Block(got, min(1.0, linked / max(1, len(got))), path, frozenset(m for _, ms in stack for m in ms)))
-            text.clear()
-        linked = 0
-
-    def put(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked += len(piece)
-
-    while at < size:
-        lt = html.find("<", at)
-        if lt < 0:
-            put(html[at:])
-            break
-        put(html[at:lt])
-        m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
-        if not m:
-            put("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        got = m.groupdict()
-        if got.get("cdata"):
-            put(got["cdata"])
-        elif got.get("end"):
-            name = got["end"].lower()
-            if name not in INLINE:
+
+    def __init__(self, html: str | None):
+        self.parent, self.name, self.marks = [0], [""], [()]
+        self.blocks: list[Block] = []
+        self._scan(html or "")
+
+    def _scan(self, html: str) -> None:
+        stack, open_ = [0], Counter()
+        text: list[str] = []
+        linked, link, hidden = 0, 0, 0  # link, hidden: the depth at which one began, or 0
+        at, size = 0, len(html)
+
+        def flush() -> None:
+            nonlocal linked
+            if text:
+                got = " ".join("".join(text).split())
+                if got:
+                    self.blocks.append(Block(got, min(1.0, linked / len(got)), stack[-1]))
+                text.clear()
+            linked = 0
+
+        def put(piece: str, plain: bool = True) -> None:
+            nonlocal linked
+            if piece and not hidden:
+                piece = unescape(piece) if plain else piece
+                text.append(piece)
+                if link:
+                    linked += len(piece)
+
+        def close(to: int) -> None:
+            nonlocal link, hidden
+            for k in stack[to:]:
+                open_[self.name[k]] -= 1
+            del stack[to:]
+            link, hidden = link if link <= to else 0, hidden if hidden <= to - 1 else 0
+
+        while at < size:
+            lt = html.find("<", at)
+            if lt < 0:
+                put(html[at:])
+                break
+            put(html[at:lt])
+            m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
+            if not m:
+                put("<")
+                at = lt + 1
+                continue
+            at = m.end()
+            got = m.groupdict()
+            if got.get("cdata"):
+                put(got["cdata"], plain=False)
+            elif got.get("end"):
+                name = got["end"].lower()
+                if name in INLINE:
+                    link = 0 if name == "a" else link
+                    if name == "br":
+                        put(" ")
+                    continue
                 flush()
-            elif name == "br":
-                put(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in INLINE:
-                        del stack[i]
-                    else:
-                        del stack[i:]
-                    break
-                if name in INLINE and stack[i][0] not in INLINE or name not in INLINE and stack[i][0] in ("body", "html"):
-                    break
-        elif got.get("tag"):
-            name = got["tag"].lower()
-            if name in RAW:
-                if name not in ("textarea", "select") or True:
-                    end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, at) if not got.get("self") else None
-                    if not got.get("self"):
+                if open_[name] > 0:
+                    to = len(stack) - 1
+                    while to and self.name[stack[to]] != name and self.name[stack[to]] not in ("body", "html"):
+                        to -= 1
+                    if self.name[stack[to]] == name:
+                        close(to)
+            elif got.get("tag"):
+                name, attrs = got["tag"].lower(), got["attrs"]
+                if name in INLINE:
+                    if name == "br":
+                        put(" ")
+                    elif name == "a":
+                        link = len(stack) if "href" in attrs.lower() else 0
+                    continue
+                if name in RAW:
+                    flush()
+                    if not got.get("self") or name in ("script", "style"):
+                        end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                         at = end.end() if end else size
-                continue
-            if name not in INLINE:
+                    continue
                 flush()
                 shut = _CLOSES.get(name, ()) or ({"p"} if name in _P_ENDERS else ())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE and name != "tr":
-                        break
-            elif name == "br":
-                put(" ")
-            if name not in VOID and not got.get("self"):
-                stack.append((name, _marks(got["attrs"]) if got["attrs"] else ()))
-    flush()
-    return out
+                if any(open_[x] > 0 for x in shut):
+                    for to in range(len(stack) - 1, 0, -1):
+                        if self.name[stack[to]] in shut:
+                            close(to)
+                            break
+                        if self.name[stack[to]] in _SCOPE and name != "tr":
+                            break
+                if name not in VOID and not got.get("self"):
+                    words, unseen = _marks(attrs) if attrs else ((), False)
+                    self.parent.append(stack[-1])
+                    self.name.append(name)
+                    self.marks.append(words)
+                    stack.append(len(self.name) - 1)
+                    open_[name] += 1
+                    if (unseen or name in UNSEEN) and not hidden:
+                        hidden = len(stack) - 1
+        flush()
+
+
+def _marks(attrs: str) -> tuple[tuple[str, ...], bool]:
+    """Words of class, id and role; and whether the element is hidden."""
+    out: list[str] = []
+    hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|/|$|=)", attrs))
+    for k, *v in _ATTR.findall(attrs):
+        k, v = k.lower(), next((x for x in v if x), "")
+        if k in ("class", "id", "role", "itemprop", "aria-label"):
+            out += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())
+        elif k == "style" and re.search(r"display\s*:\s*none", v):
+            hidden = True
+    return tuple(out), hidden
 
 
 # ---------------------------------------------------------------- features
 
-_TAGS = "article main section nav header footer aside form head title h1 h2 h3 h4 h5 h6 p li ul ol dl dd dt table td th tr blockquote pre figure figcaption label button legend fieldset address details summary caption dialog menu body div".split()
+_TAGS = "article main section nav header footer aside form head title h1 h2 h3 h4 h5 h6 p li ul ol dl dd dt table td th tr blockquote pre figure figcaption label button legend fieldset address details summary caption dialog menu div".split()
 #: Words of class, id and role, by what they speak for.
 _HINTS = {
     "ad": "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion",
@@ -163,32 +193,86 @@ _HINTS = {
 }
 _HINT_OF = {w: h for h, ws in _HINTS.items() for w in ws.split()}
 _STRONG = frozenset("ad nav foot side note talk share form hide".split())
-_NAMES = ["bias", "first", "last", *(f"in:{t}" for t in _TAGS), *(f"is:{t}" for t in _TAGS), *(f"hint:{h}" for h in _HINTS), "hint:any", "len<3", "len<10", "len<30", "len>=30", "link>0", "link>.3", "link>.7", "ends.", "comma", "bar", "copy", "upper", "digits", "in article only", "after h1", "no article yet"]
+_WHERE = ("own", "inner")
+_NAMES = ["bias", "first", "last", "only", *(f"in:{t}" for t in _TAGS), *(f"is:{t}" for t in _TAGS), *(f"{w}:{h}" for w in _WHERE for h in (*_HINTS, "any")), "len<3", "len<10", "len<30", "len>=30", "link>0", "link>.3", "link>.7", "ends.", "comma", "bar", "copy", "upper", "digits", "in core", "after core", "before core", "core article", "core main", "core none", "bare", "after h1", "no article yet"]
 _INDEX = {n: i for i, n in enumerate(_NAMES)}
-
-
-def features(found: list[Block]) -> np.ndarray:
+_TAG_BIT = {t: 1 << i for i, t in enumerate(_TAGS)}
+_HINT_BIT = {h: 1 << i for i, h in enumerate(_HINTS)}
+_STRONG_BITS = sum(_HINT_BIT[h] for h in _STRONG)
+#: Names of the tags and hints of a mask.
+_names = lru_cache(maxsize=4096)(lambda kind, mask: tuple(x for x, bit in (_TAG_BIT if kind == "tag" else _HINT_BIT).items() if mask & bit))
+#: An element with this share of a page's text is a candidate for its core.
+_MOST = 0.6
+
+
+def _core(page: Page, sizes: list[int], hints: list[int]) -> int:
+    """The element around the main text: `main`, the longest article, or the innermost with most of the text."""
+    best, chosen = -1, 0
+    inside = [False] * len(page.name)  # a reader's comments: an article in a list, or below such words
+    for k in range(1, len(page.name)):
+        up = page.parent[k]
+        inside[k] = inside[up] or page.name[up] in ("li", "aside", "footer", "nav") or bool(hints[k] & _HINT_BIT["talk"]) and page.name[k] not in ("body", "html")
+        if page.name[k] == "article":
+            worth = (not inside[k], sizes[k])
+            if best < 0 or worth > best_worth:  # noqa: F821
+                best, best_worth = k, worth
+    main = next((k for k in range(1, len(page.name)) if page.name[k] == "main" or "role" and page.marks[k][:1] == ("main",) and page.name[k] == "div"), 0)
+    if best >= 0 and (not main or sizes[best] * 4 >= sizes[main]):
+        return best
+    if main:
+        return main
+    for k in range(1, len(page.name)):  # the innermost comes last
+        if sizes[k] >= _MOST * sizes[0] and page.name[k] not in ("html", "body", "p", "li", "td"):
+            chosen = k
+    return chosen
+
+
+def features(page: Page) -> np.ndarray:
     """One row of 0/1 features for each block."""
+    n, found = len(page.name), page.blocks
+    sizes = [0] * n
+    for b in found:
+        sizes[b.at] += len(b.text)
+    for k in range(n - 1, 0, -1):
+        sizes[page.parent[k]] += sizes[k]
+    hints = [0] * n
+    for k, ws in enumerate(page.marks):
+        for w in ws:
+            if w in _HINT_OF:
+                hints[k] |= _HINT_BIT[_HINT_OF[w]]
+    core = _core(page, sizes, hints)
+    frame, k = {0, core}, core
+    while k:
+        k = page.parent[k]
+        frame.add(k)
+    tags, inner, within = [0] * n, [0] * n, [False] * n
+    for k in range(1, n):
+        up = page.parent[k]
+        tags[k] = tags[up] | _TAG_BIT.get(page.name[k], 0)
+        inner[k] = inner[up] | (0 if k in frame or page.name[k] in ("html", "body") else hints[k])
+        within[k] = within[up] or k == core
+    kind = {"article": "core article", "main": "core main"}.get(page.name[core], "core none" if not core else "core main" if "main" in page.marks[core] else "")
     x = np.zeros((len(found), len(_NAMES)), np.float32)
-    heading = any(b.path and b.path[-1] == "h1" for b in found)
-    seen = False
+    heading = any(page.name[b.at] == "h1" for b in found)
+    seen = passed = False
     for i, b in enumerate(found):
-        on = ["bias"]
-        on += [f"in:{t}" for t in set(b.path) if f"in:{t}" in _INDEX]
-        inner = next((t for t in reversed(b.path) if t not in INLINE), "")
-        if f"is:{inner}" in _INDEX:
-            on.append(f"is:{inner}")
-        hints = {_HINT_OF[m] for m in b.marks if m in _HINT_OF}
-        on += [f"hint:{h}" for h in hints] + ["hint:any"] * bool(hints & _STRONG)
-        n = len(b.text.split())
-        on.append("len<3" if n < 3 else "len<10" if n < 10 else "len<30" if n < 30 else "len>=30")
+        on, k = ["bias"], b.at
+        on += [f"in:{t}" for t in _names("tag", tags[k])]
+        if page.name[k] in _TAG_BIT:
+            on.append(f"is:{page.name[k]}")
+        own = 0 if k in frame else hints[k] | (0 if page.parent[k] in frame else hints[page.parent[k]])
+        for where, mask in zip(_WHERE, (own, inner[k]), strict=True):
+            on += [f"{where}:{h}" for h in _names("hint", mask)] + [f"{where}:any"] * bool(mask & _STRONG_BITS)
+        words = len(b.text.split())
+        on.append("len<3" if words < 3 else "len<10" if words < 10 else "len<30" if words < 30 else "len>=30")
         on += ["link>0"] * (b.linked > 0) + ["link>.3"] * (b.linked > 0.3) + ["link>.7"] * (b.linked > 0.7)
-        on += ["ends."] * (b.text[-1] in ".!?…»\"”") + ["comma"] * ("," in b.text) + ["bar"] * ("|" in b.text) + ["copy"] * ("©" in b.text)
+        on += ["ends."] * (b.text[-1] in ".!?…»\"”") + ["comma"] * ("," in b.text) + ["bar"] * ("|" in b.text and b.linked > 0) + ["copy"] * ("©" in b.text)
         on += ["upper"] * b.text.isupper() + ["digits"] * (sum(map(str.isdigit, b.text[:200])) > 20)
-        seen |= inner == "h1"
-        on += ["in article only"] * (("article" in b.path or "main" in b.path) and not hints & _STRONG and not {"nav", "aside", "footer", "form"} & set(b.path))
-        on += ["after h1"] * seen + ["no article yet"] * (heading and not seen)
-        on += ["first"] * (i == 0) + ["last"] * (i == len(found) - 1)
+        seen |= page.name[k] == "h1"
+        passed |= within[k]
+        on += [kind] * bool(kind) + ["in core" if within[k] else "after core" if passed else "before core"] * bool(core)
+        on += ["bare"] * (not tags[k]) + ["after h1"] * seen + ["no article yet"] * (heading and not seen)
+        on += ["first"] * (i == 0) + ["last"] * (i == len(found) - 1) + ["only"] * (len(found) == 1)
         x[i, [_INDEX[f] for f in on]] = 1
     return x
 
@@ -202,30 +286,34 @@ class Crf:
     def __init__(self):
         self.w, self.t, self.s = np.zeros((len(_NAMES), 2)), np.zeros((2, 2)), np.zeros(2)
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.1, l2: float = 1e-4) -> Crf:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.1, l2: float = 1e-4) -> Crf:
         """Maximises the conditional log-likelihood by Adam over all pages at once."""
         n, most = len(pages), max(len(y) for _, y in pages)
-        x, y, on = np.zeros((n, most, len(_NAMES))), np.zeros((n, most), int), np.zeros((n, most), bool)
-        for i, (a, b) in enumerate(pages):
-            x[i, : len(b)], y[i, : len(b)], on[i, : len(b)] = a, b, True
-        flat, hot = x.reshape(-1, x.shape[2]), np.eye(2)[y] * on[..., None]
-        step = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
+        flat, hot = np.concatenate([a for a, _ in pages]).astype(np.float32), np.eye(2)[np.concatenate([y for _, y in pages])]
+        at = np.concatenate([i * most + np.arange(len(y)) for i, (_, y) in enumerate(pages)])  # a block's place in the padded pages
+        on = np.zeros(n * most, bool)
+        on[at] = True
+        on = on.reshape(n, most)
+        first = np.cumsum([0, *(len(y) for _, y in pages[:-1])])
+        step = sum(np.einsum("ti,tj->ij", np.eye(2)[y[:-1]], np.eye(2)[y[1:]]) for _, y in pages)
         params, moment, power = [self.w, self.t, self.s], [0, 0, 0], [0, 0, 0]
+        both = lambda x, t: np.stack([np.logaddexp(x[:, 0] + t[0, j], x[:, 1] + t[1, j]) for j in (0, 1)], axis=1)
         for r in range(1, rounds + 1):
-            e = (flat @ self.w).reshape(n, most, 2)
+            e = np.zeros((n * most, 2))
+            e[at] = flat @ self.w.astype(np.float32)
+            e = e.reshape(n, most, 2)
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0] + self.s
             for k in range(1, most):
-                go = np.logaddexp.reduce(alpha[:, k - 1, :, None] + self.t, axis=1) + e[:, k]
-                alpha[:, k] = np.where(on[:, k, None], go, alpha[:, k - 1])
+                alpha[:, k] = np.where(on[:, k, None], both(alpha[:, k - 1], self.t) + e[:, k], alpha[:, k - 1])
             for k in range(most - 2, -1, -1):
-                go = np.logaddexp.reduce(self.t + (e[:, k + 1] + beta[:, k + 1])[:, None, :], axis=2)
-                beta[:, k] = np.where(on[:, k + 1, None], go, 0)
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            one = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
+                beta[:, k] = np.where(on[:, k + 1, None], both(e[:, k + 1] + beta[:, k + 1], self.t.T), 0)
+            z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+            one = np.exp(alpha + beta - z[:, None, None]).reshape(-1, 2)[at]
             two = alpha[:, :-1, :, None] + self.t + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
             two = np.exp(np.where(on[:, 1:, None, None], two, -np.inf)).sum(axis=(0, 1))
-            grads = [flat.T @ (hot - one).reshape(-1, 2) / n - l2 * self.w, (step - two) / n - l2 * self.t, (hot[:, 0] - one[:, 0]).sum(axis=0) / n]
+            miss = hot - one
+            grads = [flat.T @ miss.astype(np.float32) / n - l2 * self.w, (step - two) / n - l2 * self.t, miss[first].sum(axis=0) / n]
             for i, g in enumerate(grads):
                 moment[i], power[i] = 0.9 * moment[i] + 0.1 * g, 0.999 * power[i] + 0.001 * g * g
                 params[i] += rate * (moment[i] / (1 - 0.9**r)) / (np.sqrt(power[i] / (1 - 0.999**r)) + 1e-8)
@@ -251,96 +339,122 @@ class Crf:
 # ---------------------------------------------------------------- labelled pages
 
 #: Content carries this mark in the page source, so each block's label is known.
-_IN = ""
+_IN = "\ue000"
+#: Words that themes put on outer elements, whatever stands inside them; half of them are also hints.
+_THEME = "single has no with open wide full layout grid col row container wrapper wrap page site app root theme dark lang en logged left right sidebar comments menu main header footer nav search post template default ad share boxed sticky top widget related cookie hidden js inner outer block".split()
 
 
 def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     """A page of a random template and the label of each of its blocks (1: content)."""
+    pick, maybe = rng.choice, lambda p: rng.random() < p
     syllables = "ba re to ni sol ka lim ver da es tra un pel mo ri gan chi ent ous ly".split()
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    sentence = lambda: words(2, 18).capitalize() + rng.choice([".", ".", ".", "!", "?", ", " + words(2, 6) + "."])
-    paragraph = lambda: " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 3, 6])))
-    pick = rng.choice
+    stops = pick([[".", ".", ".", "!", "?"], [".", ".", ":", ". [3]", ";"], [""], [". [1]", " [12]", ".)"]])
+    sentence = lambda: words(2, 18).capitalize() + pick([*stops, ", " + words(2, 6) + "."])
+    paragraph = lambda: " ".join(sentence() for _ in range(pick([1, 1, 2, 3, 6])))
 
     def links(n: int) -> str:
-        tag = pick(["ul", "ol", "div"])
-        inner = "".join(f"<li><a href='/{word()}'>{words(1, 3)}</a></li>" if tag != "div" else f"<a href='#'>{words(1, 2)}</a> {pick(['|', '', '·'])} " for _ in range(n))
-        return f"<{tag}>{inner}</{tag}>"
+        shape = pick(["ul", "ol", "div", "p", "span"])
+        if shape in ("ul", "ol"):
+            return f"<{shape}>" + "".join(f"<li><a href='/{word()}'>{words(1, 3)}</a></li>" for _ in range(n)) + f"</{shape}>"
+        return f"<{shape}>" + pick([" | ", " ", " · "]).join(f"<a href='#'>{words(1, 2)}</a>" for _ in range(n)) + f"</{shape}>"
 
-    def box(kind: str, inner: str, tags: tuple[str, ...] = ("div", "section")) -> str:
-        name = pick(_HINTS[kind].split()) if kind in _HINTS else kind
-        extra = pick(["", "-box", "_wrap", " wide", "-1"])
-        attr = pick(["class", "class", "id"])
-        return f'<{pick(tags)} {attr}="{name}{extra}">{inner}</{"x"}>'
+    def named(inner: str, names: list[str], tags: tuple[str, ...] = ("div", "section")) -> str:
+        tag = pick(tags)
+        name = " ".join(names)
+        return f'<{tag} {pick(["class", "class", "id"])}="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
 
-    def closed(html: str) -> str:
-        return re.sub(r"^<(\w+)(.*)</x>$", lambda m: f"<{m[1]}{m[2]}</{m[1]}>", html, flags=re.S)
+    def noisy(most: int) -> list[str]:
+        return ["-".join(rng.sample(_THEME, rng.randint(1, 3))) for _ in range(rng.randint(0, most))]
 
     def furniture(kind: str) -> str:
         inner = {
             "ad": lambda: pick([sentence(), paragraph(), f"<p>{sentence()}</p><a href='#'>{words(1, 3)}</a>"]),
-            "nav": lambda: links(rng.randint(3, 8)),
-            "head": lambda: pick([f"<a href='/'>{words(1, 3)}</a>", f"<p>{sentence()}</p>", words(1, 4), f"<h2>{words(1, 3)}</h2>"]),
-            "foot": lambda: pick([f"&copy; {word()}.example &middot; {sentence()}", f"<p>&copy; 2020 {words(1, 4)}</p>" + links(3), f"<p>{sentence()}</p>"]),
+            "nav": lambda: links(rng.randint(3, 9)),
+            "head": lambda: pick([f"<a href='/'>{words(1, 3)}</a>", f"<p>{sentence()}</p>", words(1, 4), f"<h2>{words(1, 3)}</h2>", f"<h1><a href='/'>{words(1, 3)}</a></h1>"]),
+            "foot": lambda: pick([f"&copy; {word()}.example &middot; {sentence()}", f"<p>&copy; 2020 {words(1, 4)}</p>" + links(3), f"<p>{sentence()}</p>", f"<div>{words(1, 4)} {rng.randint(1990, 2030)}</div>" + links(2)]),
             "side": lambda: pick([f"<h3>{words(1, 3)}</h3>" + links(4), f"<p>{paragraph()}</p>", f"<h4>{words(1, 2)}</h4><p>{sentence()}</p>"]),
             "note": lambda: pick([f"<p>{sentence()}</p><button>{word()}</button>", paragraph(), f"{sentence()} <a href='#'>{word()}</a>"]),
-            "talk": lambda: f"<h3>{words(1, 2)}</h3>" + "".join(pick([f"<div class='comment'><b>{word()}</b><p>{paragraph()}</p></div>", f"<p>{paragraph()}</p>", f"<ul><li>{sentence()}</li></ul>"]) for _ in range(rng.randint(1, 5))),
+            "talk": lambda: f"<h3>{words(1, 2)}</h3>" + talk(),
             "share": lambda: pick([links(3), words(1, 4)]),
             "form": lambda: f"<label>{words(1, 3)}</label><input name='q'><button>{word()}</button>" + pick(["", f"<p>{sentence()}</p>", f"<textarea>{sentence()}</textarea>"]),
         }[kind]()
-        own = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "talk": "section", "ad": "aside"}.get(kind)
-        if own and rng.random() < 0.55 and kind not in ("talk", "ad"):
+        own = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "ad": "aside"}.get(kind)
+        if own and kind != "ad" and maybe(0.55):
             return f"<{own}>{inner}</{own}>"
-        return closed(box(kind, inner, (own or "div", "div")))
-
-    def content() -> list[str]:
+        if kind == "nav" and maybe(0.25):
+            return inner
+        return named(inner, [pick(_HINTS[kind].split()) + pick(["", "-box", "_wrap", " wide", "-1"])], (own or "div", "div"))
+
+    def talk() -> str:
+        n = rng.randint(1, 6)
+        shape = pick(["div", "article", "li", "p"])
+        one = lambda: f"<b>{word()}</b><p>{paragraph()}</p>"
+        if shape == "li":
+            return "<ol>" + "".join(f"<li>{pick([one(), sentence(), f'<article>{one()}</article>'])}</li>" for _ in range(n)) + "</ol>"
+        return "".join(f"<p>{paragraph()}</p>" if shape == "p" else f"<{shape} class='comment'>{one()}</{shape}>" for _ in range(n))
+
+    def content(n: int) -> list[str]:
         out = []
-        for i in range(rng.choice([1, 2, 4, 8, 14])):
+        for i in range(n):
             body = paragraph()
-            body = pick([body, body, body, f"<b>{body}</b>", f"<b>{body}<br>", f"{body} <a href='#'>{words(1, 3)}</a> {sentence()}", f"{body}<br>{sentence()}", words(1, 4) + pick([".", ""])])
+            body = pick([body, body, body, f"<b>{body}</b>", f"<b>{body}<br>", f"{body} <a href='#'>{words(1, 3)}</a> {sentence()}", f"{body}<br>{sentence()}", f"<span class='{' '.join(noisy(1))}'>{body}</span>", words(1, 4) + pick([".", "", " |", " ***"])])
             kind = pick(["p"] * 9 + ["li", "blockquote", "h2", "pre", "table", "div", "h3", "figure"]) if i else "p"
             out.append({"li": f"<ul><li>{_IN}{body}</li><li>{_IN}{sentence()}</li></ul>", "table": f"<table><tr><td>{_IN}{words(1, 3)}</td><td>{_IN}{words(1, 3)}</td></tr></table>", "figure": f"<figure><img src='x'><figcaption>{_IN}{sentence()}</figcaption></figure>"}.get(kind) or f"<{kind}>{_IN}{body}</{kind}>")
-            if kind == "p" and rng.random() < 0.15:
+            if kind == "p" and maybe(0.15):
                 out[-1] = out[-1].removesuffix("</p>")
-        for _ in range(pick([0, 0, 0, 1, 2])):
-            out.insert(rng.randint(1, len(out)), furniture(pick(["ad", "side", "note", "share"])))
         return out
 
     title = words(2, 12).capitalize() + pick(["", ".", "&amp;"])
-    h1 = pick([f"<h1>{_IN}{title}</h1>"] * 4 + [f"<h1><a href='#'>{_IN}{title}</a></h1>", f"<h2>{_IN}{title}</h2>"])
-    inner = h1 + "".join(content())
-    shape = pick(["article", "article", "article", "main", "role", "div", "div", "nested", "both"])
+    parts = content(pick([1, 1, 2, 3, 4, 8, 14]))
+    for _ in range(pick([0, 0, 0, 1, 2])):
+        parts.insert(rng.randint(1, len(parts)), furniture(pick(["ad", "side", "note", "share"])))
+    h1 = pick([f"<h1>{_IN}{title}</h1>"] * 3 + [f"<h1><a href='#'>{_IN}{title}</a></h1>", f"<h2>{_IN}{title}</h2>", ""])
+    if h1 and maybe(0.15):
+        h1 = f"<header>{h1}</header>"
+    inner = h1 + "".join(parts)
     hint = pick("content article post entry story main text body".split())
-    article = {"article": f"<article>{inner}</article>", "main": f"<main>{inner}</main>", "role": f'<div role="main">{inner}</div>', "div": f'<div class="{hint}">{inner}</div>', "nested": f'<div id="wrapper"><div class="{hint}-{pick(["body", "text", "wrap"])}">{inner}</div></div>', "both": f'<main><article class="post">{inner}</article>{{talk}}</main>'}[shape]
-    article = article.replace("{talk}", furniture("talk") if rng.random() < 0.4 else "")
-    before = [furniture(k) for k in ("head", "nav", "note", "ad", "form", "share") if rng.random() < {"nav": 0.85, "ad": 0.55}.get(k, 0.3)]
-    after = [furniture(k) for k in ("share", "side", "talk", "ad", "form", "note", "nav", "foot") if rng.random() < {"foot": 0.85, "side": 0.35, "talk": 0.35}.get(k, 0.2)]
-    rng.shuffle(before)
-    if rng.random() < 0.25:
-        before = [*before, furniture("side")]
-    head = f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>" if rng.random() < 0.9 else ""
-    page = f"{head}<body>{''.join(before)}<!-- {word()} -->{article}{''.join(after)}" + pick(["</body></html>", "</body></html>", ""])
-    found = blocks(page)
-    labels = [int(_IN in b.text) for b in found]
-    return page.replace(_IN, ""), labels
-
-
-def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], np.ndarray]]:
-    """Blocks and labels of `n` generated pages; the same for the same seed."""
+    shape = pick(["article", "article", "main", "role", "hint", "hint", "nested", "both", "div", "bare", "bare", "text"])
+    own = f' class="{" ".join(noisy(3))}"' if maybe(0.5) else ""
+    said = furniture("talk") if maybe(0.35) else ""
+    if shape == "text":  # no tags at all, or none around the text
+        inner = f"{_IN}{paragraph()}"
+    article = {"article": f"<article{own}>{inner}</article>", "main": f"<main{own}>{inner}</main>", "role": f'<div role="main">{inner}</div>', "hint": f'<div class="{hint}">{inner}</div>', "nested": f'<div id="wrapper"><div class="{hint}-{pick(["body", "text", "wrap"])}">{inner}</div></div>', "both": f'<main{own}><article class="post">{inner}</article>{said}</main>', "div": f"<div>{inner}</div>", "bare": inner, "text": inner}[shape]
+    before = after = []
+    if maybe(0.75):
+        before = [furniture(k) for k in ("head", "nav", "note", "ad", "form", "share") if maybe({"nav": 0.85, "ad": 0.4}.get(k, 0.25))]
+        after = [furniture(k) for k in ("share", "side", "ad", "form", "note", "nav", "foot") if maybe({"foot": 0.85, "side": 0.35}.get(k, 0.2))]
+        rng.shuffle(before)
+        before = [*before, furniture("side")] if maybe(0.25) else before
+        after = [said, *after] if said and shape != "both" else after
+    if shape in ("bare", "text") and (before or after) and maybe(0.5):
+        before, after = [b for b in before if "<nav" in b or "<header" in b], [a for a in after if "<footer" in a or "copy" in a]
+    page = "".join(before) + f"<!-- {word()} -->" * maybe(0.3) + article + "".join(after)
+    for _ in range(pick([0, 0, 1, 1, 2, 3])):  # outer elements of any name
+        page = named(page, noisy(3), ("div", "div", "section"))
+    if maybe(0.85):
+        body = f' class="{" ".join(noisy(5))}"' if maybe(0.6) else ""
+        extra = pick(["", f"<style>.{word()} {{color:red}}</style>", f"<script src='/{word()}.js'></script>", f"<script>if (a < b) {word()}('</div>')</script>"])
+        page = f"<html lang='en'><head><title>{title}</title>{extra}</head><body{body}>{page}" + pick(["</body></html>", ""])
+    return page.replace(_IN, ""), [int(_IN in b.text) for b in Page(page).blocks]
+
+
+def labelled_pages(n: int = 1500, seed: int = 7) -> list[tuple[Page, np.ndarray]]:
+    """`n` generated pages and the labels of their blocks; the same for the same seed."""
     rng, out = random.Random(seed), []
     while len(out) < n:
-        page, labels = labelled_page(rng)
-        found = blocks(page)
-        if len(found) == len(labels) and found:
-            out.append((found, np.array(labels)))
+        html, labels = labelled_page(rng)
+        page = Page(html)
+        if len(page.blocks) == len(labels) and page.blocks:
+            out.append((page, np.array(labels)))
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, seed: int = 7) -> Crf:
-    """The model of `labelled_pages`; a few seconds, once per process."""
-    return Crf().fit([(features(b), y) for b, y in labelled_pages(pages, seed)])
+def trained(pages: int = 1500, seed: int = 7) -> Crf:
+    """The model of `labelled_pages`; some seconds, once per process."""
+    return Crf().fit([(features(p), y) for p, y in labelled_pages(pages, seed)])
 
 
 # ---------------------------------------------------------------- the operator
@@ -348,8 +462,8 @@ def trained(pages: int = 700, seed: int = 7) -> Crf:
 
 def main_text(page: str | None, model: Crf) -> str:
     """The content blocks of a page, joined by one space; empty if none."""
-    found = blocks(page)
-    return " ".join(b.text for b, y in zip(found, model.decode(features(found)), strict=True) if y)
+    found = Page(page)
+    return " ".join(b.text for b, y in zip(found.blocks, model.decode(features(found)), strict=True) if y)
 
 
 def extract(pages: DataFrame, model: Crf | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -69,11 +69,78 @@ def test_decontamination(spark, block):
 def test_html():
     model = html_extract.trained()
     held = html_extract.labelled_pages(60, seed=123)
-    right = [int((model.decode(html_extract.features(b)) == y).sum()) for b, y in held]
+    right = [int((model.decode(html_extract.features(p)) == y).sum()) for p, y in held]
     assert sum(right) / sum(len(y) for _, y in held) > 0.97
     assert html_extract.main_text(None, model) == html_extract.main_text("", model) == html_extract.main_text("<script>x</script><style>p", model) == ""
     page = "<html><head><title>no</title></head><body><nav><ul><li><a href='/'>menu</a></li></ul></nav><article><h1>A&amp;B</h1><p>First  <b>bold</b> text, and more of it.<p>Second\n text is here too.</article><footer>&copy; us</footer>"
     assert html_extract.main_text(page, model) == "A&B First bold text, and more of it. Second text is here too."
+    page = "<article><p>One <math><mi>x</mi></math> <object>two</object> of it, <svg><title>icon</title></svg>three.</p><select><option>no</option><p>Four is here and goes on.</p></article>"
+    assert html_extract.main_text(page, model).startswith("One x two of it, three.")
+
+
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/a'>About us</a></li><li><a href='/b'>News</a></li></ul>"
+FOOT = "<footer>&copy; 2020 Some Company</footer>"
+#: Layouts around the paragraphs of an article; none comes from the generator.
+LAYOUTS = {
+    "article": "<html><body><article>{}</article></body></html>",
+    "main": "<html><body><main>{}</main></body></html>",
+    "noisy body": f"<html><body class='single has-sidebar'><nav>{MENU}</nav><article>{{}}</article>{FOOT}</body></html>",
+    "noisy outer": f"<html><body><div class='comments-open'><nav>{MENU}</nav><article>{{}}</article>{FOOT}</div></body></html>",
+    "noisy outer main": f"<html><body><div class='comments-open'><nav>{MENU}</nav><main>{{}}</main>{FOOT}</div></body></html>",
+    "noisy wrap": "<html><body><div class='main-menu-open page-wrap'><article>{}</article></div></body></html>",
+    "noisy wrap alone": "<html><body><div class='main-menu-open page-wrap'>{}</div></body></html>",
+    "noisy article": f"<html><body><nav>{MENU}</nav><article class='post tag-news comments-open'>{{}}</article>{FOOT}</body></html>",
+    "body": "<html><body>{}</body></html>",
+    "div": "<html><body><div>{}</div></body></html>",
+    "heading": "<html><body><h1>The title of it</h1>{}</body></html>",
+    "furniture": f"<html><body>{MENU}<div>{{}}</div>{FOOT}</body></html>",
+    "furniture alone": f"<html><body>{MENU}{{}}{FOOT}</body></html>",
+    "nothing": "{}",
+}
+
+
+@pytest.mark.parametrize("end", [".", " spring. [3]", ""])
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_keeps_whole_articles(layout, end):
+    """Every paragraph, however few, under any outer names and beside any furniture; and no furniture."""
+    model = html_extract.trained()
+    for n in (1, 3, 8):
+        own = [f"The quick river carried old letters past seven quiet houses and into the warm spring morning light {i}{end}" for i in range(n)]
+        text = html_extract.main_text(LAYOUTS[layout].format("".join(f"<p>{p}</p>" for p in own)), model)
+        assert all(p in text for p in own) and not any(x in text for x in ("About us", "Company"))
+
+
+#: Pages with what a reader would call their main text, labelled by hand.
+BY_HAND = [
+    ("<body class='blog sidebar-left'><div id=top><a href=/>Tide Watch</a></div><div class=nav><a href=/1>Ports</a> <a href=/2>Charts</a></div><div class=post><h1>Why harbours silt up</h1><p>Rivers drop what they carry where the water slows.</p><p>Dredging only moves it.</p></div><div id=comments><h3>2 replies</h3><div class=comment><p>We saw that in our own harbour last year, every week of it.</p></div></div><div id=footer>&copy; Tide Watch</div></body>", "Why harbours silt up Rivers drop what they carry where the water slows. Dredging only moves it."),
+    ("<!doctype html><html><body><header><a href='/'>Recipes</a></header><div class='cookie-banner'><p>We use cookies to make this site better for you.</p><button>Accept</button></div><main><article><h1>Rye bread</h1><p>Mix the flour with warm water and leave it overnight.</p><ul><li>500 g of rye flour</li><li>a spoon of salt</li></ul><p>Bake it for an hour.</p></article></main><aside class='sidebar'><h3>Related</h3><ul><li><a href='/x'>Wheat bread</a></li><li><a href='/y'>Oat cakes</a></li></ul></aside></body></html>", "Rye bread Mix the flour with warm water and leave it overnight. 500 g of rye flour a spoon of salt Bake it for an hour."),
+    ("<html><body><p>A page that someone wrote by hand in an afternoon, with nothing but two paragraphs.</p><p>This is the second of them, and it closes here.</p></body></html>", "A page that someone wrote by hand in an afternoon, with nothing but two paragraphs. This is the second of them, and it closes here."),
+    ("<html><body><table><tr><td>The old way of laying out a page was a table, and its text stood in a cell.</td></tr></table></body></html>", "The old way of laying out a page was a table, and its text stood in a cell."),
+]
+
+
+def test_html_on_pages_labelled_by_hand():
+    model = html_extract.trained()
+    for page, text in BY_HAND:
+        assert html_extract.main_text(page, model) == text
+
+
+def test_html_deep_pages_take_linear_memory():
+    for html in ("<div>" * 100_000 + "<p>text of it", "<div>a" * 30_000, "<p>a</b></i></x>" * 30_000):
+        page = html_extract.Page(html)
+        assert len(page.name) <= 100_002 and len(html_extract.features(page)) == len(page.blocks) > 0
+
+
+def test_html_extract_edges(spark):
+    """Null, empty, repeated and very long pages, extra columns that clash, text ids, an empty table."""
+    long = "<article><p>" + "It goes on and on here, " * 50_000 + "</p></article>"
+    rows = [("a", None, None, 1), ("b", "u", "", 1), (None, "v", BY_HAND[0][0], 1), (None, "v", BY_HAND[0][0], 1), ("c", "w", long, 1), ("d", "x", "<p>" * 5, 1)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, text int")
+    got = html_extract.extract(pages)
+    assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    found = sorted((r.page_id or "", r.url or "", r.text, r.n_chars) for r in got.collect())
+    assert found == sorted([("a", "", "", 0), ("b", "u", "", 0), *[("", "v", BY_HAND[0][1], len(BY_HAND[0][1]))] * 2, ("c", "w", ("It goes on and on here, " * 50_000).strip(), 24 * 50_000 - 1), ("d", "x", "", 0)])
+    assert html_extract.extract(pages.limit(0)).count() == 0
 
 
 def test_html_decoding_is_optimal():
