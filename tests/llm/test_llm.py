@@ -177,24 +177,112 @@ def test_mixing(spark, edge):
     assert mixing.plan_mix(named).select("row.doc_id").distinct().count() == 60
 
 
-def test_lm(spark, edge):
-    net = lm_score.Net([f"w{k}" for k in range(50)], seed=1)
-    text = "w1 w2 other w3, w1"
-    ids = [0, 0, *net.ids(lm_score.words(text)).tolist(), 0, 0]
-    emb, w1, b1, wg, bg, wp, bp = net.weights
-    total = 0.0
-    for i in range(2, len(ids) - 2):
-        h = np.tanh(np.concatenate([emb[ids[i + k]] for k in (-2, -1, 1, 2)]) @ w1 + b1)
-        g, p = divmod(ids[i], lm_score.GROUPS)
-        a, b = h @ wg + bg, h @ wp + bp[g]
-        total += a[g] - np.log(np.exp(a).sum()) + b[p] - np.log(np.exp(b).sum())
-    n, got = net.score([text, None, ""])
-    assert n.tolist() == [6, 0, 0] and got == pytest.approx([total, 0, 0], rel=1e-4)
-    train = [("w1 w2 w3 w4 " * 20, i) for i in range(64)]
-    docs = spark.createDataFrame([(i, t) for t, i in train], "doc_id long, text string")
-    fitted = lm_score.train(docs, share=1)
-    assert fitted.score(["w1 w2 w3 w4 " * 5])[1][0] > fitted.score(["w4 w2 w1 w3 " * 5])[1][0]
-    assert lm_score.score_documents(edge, fitted).count() == len(EDGE)
+def spelled_alone(net, word):
+    """Log-probability of a word's bytes, one by one."""
+    code, total = [256, 256, *word.encode(), 256], 0.0
+    for one, two, x in zip(code[1:], code, code[2:], strict=False):
+        total += net.spelled[((two * 257 + one) * 0x9E3779B1 & 0xFFFFFFFF) >> 20, x]
+    return total
+
+
+def brute_lm(net, texts):
+    """Scores of texts that are the whole corpus: the network word by word, and runs in dictionaries."""
+    emb, w1, b1, wg, bg, wp, bp = (w.astype(float) for w in net.weights)
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    by_text = []
+    for t in texts:
+        found = re.findall(r"\w+|[^\w\s]", (t or "").lower())
+        ids = [int(x) for x in net.classes(found)[0]]
+        spelled = [np.float16(min(0.0, spelled_alone(net, w) + np.log(63)) if i <= 63 else 0) for w, i in zip(found, ids, strict=True)]
+        padded, runs, now = [0, 0, *ids, 0, 0], [], []
+        for k, i in enumerate(ids):
+            h = np.tanh(np.concatenate([emb[padded[k + d]] for d in (0, 1, 3, 4)]) @ w1 + b1)
+            g, p = divmod(i, 64)
+            a, b = h @ wg + bg, h @ wp + bp[g]
+            log_p = a[g] - np.log(np.exp(a).sum()) + b[p] - np.log(np.exp(b).sum()) + float(spelled[k])
+            word = mix(i << 16 | (int(spelled[k].view(np.uint16)) if i <= 63 else 0))
+            if now and mix((now[-1][0] + 3 * word) & mask) % lm_score.RUN == 0:
+                runs.append(now)
+                now = []
+            now.append((word, log_p))
+        by_text.append([*runs, now] if now else runs)
+    keys = [[tuple(w for w, _ in r) for r in rs] for rs in by_text]
+    every = Counter(k for ks in keys for k in ks)
+    out = []
+    for rs, ks in zip(by_text, keys, strict=True):
+        own = Counter(ks)
+        net_p = [sum(p for _, p in r) for r in rs]
+        out.append(sum(np.logaddexp(np.log(0.9) + p, np.log(0.1 * (every[k] - own[k]) / sum(every.values()))) if every[k] > own[k] else np.log(0.9) + p for k, p in zip(ks, net_p, strict=True)))
+    return out
+
+
+def test_lm_scores_are_those_of_brute_force(spark, edge):
+    net = lm_score.Net([(f"w{k}", 50 - k) for k in range(50)], 3000, seed=1)
+    base = [" ".join(f"w{(k * k + j) % 70}" for j in range(40)) for k in range(6)]
+    rows = [None, "", "Zoë, w1!", *base, base[0], base[1] + " w1 w2 w3", "w1 " * 60]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("row", F.lit("x"))
+    got = {r.doc_id: (r.n_words, r.log_likelihood, r.mean_log_p) for r in lm_score.score_documents(docs, net).collect()}
+    want = brute_lm(net, rows)
+    for i, t in enumerate(rows):
+        n = len(lm_score.words(t))
+        assert got[i][0] == n and got[i][1] == pytest.approx(want[i], rel=1e-3, abs=1e-6)
+        assert got[i][2] is None if n == 0 else got[i][2] == pytest.approx(want[i] / n, rel=1e-3)
+    assert got[3][1] > got[5][1] / 2  # a text that stands twice scores far better than one that stands once
+    assert lm_score.score_documents(edge, net).count() == len(EDGE) and lm_score.score_documents(edge.limit(0)).count() == 0
+
+
+def test_lm_classes_and_spelling(spark):
+    """Spellings are a distribution, counted over all words outside the vocabulary, and junk is less likely."""
+    counts = spark.createDataFrame([("banana", 5), ("bandana", 2), ("é", 1)], "word string, n long")
+    table = lm_score.spelling(counts)
+    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-5)
+    net = lm_score.Net([("the", 10)], 20, table)
+    cls, spelled = net.classes(["the", "banana", "zzxqzz", "the"])
+    assert cls[0] == cls[3] == 64 and spelled[0] == spelled[3] == 0 and spelled[2] < spelled[1] < 0
+    assert spelled[1] == pytest.approx(spelled_alone(net, "banana") + np.log(63), rel=1e-5)
+    assert np.exp(net.weights[4]).sum() == pytest.approx(1, abs=1e-4) and np.allclose(np.exp(net.weights[6]).sum(axis=1), 1, atol=1e-4)
+
+
+def test_lm_training_follows_the_gradient():
+    """One step is the numerical gradient of the mean log-probability."""
+    net = lm_score.Net([(f"w{k}", 5) for k in range(200)], 1000, seed=3)
+    net.weights = [w.astype(np.float64) for w in net.weights]
+    rng = np.random.default_rng(0)
+    around, target = rng.integers(0, 260, (30, 4)), rng.integers(1, 260, 30)
+    before = [w.copy() for w in net.weights]
+    net.learn(around, target, 1.0)
+    step = [a - b for a, b in zip(net.weights, before, strict=True)]
+    for k in range(len(before)):
+        at = np.unravel_index(np.abs(step[k]).argmax(), step[k].shape)
+        both = []
+        for d in (1e-5, -1e-5):
+            net.weights = [w.copy() for w in before]
+            net.weights[k][at] += d
+            both.append(net.log_p(around, target).mean())
+        assert step[k][at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-3)
+
+
+def test_lm_training_does_not_hang_on_partitions(spark):
+    """All rows train, null and repeated ids too, alike under any partitioning, and order is learned."""
+    rng = random.Random(2)
+    rows = [(i if i % 7 else None, " ".join(["a b c d", "e f g h"][rng.random() < 0.5] for _ in range(40))) for i in range(120)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    nets = []
+    for d in (docs.repartition(1), docs.repartition(5)):
+        net, total = lm_score.vocabulary(d)
+        start = [w.copy() for w in net.weights]
+        nets.append(lm_score.train(lm_score.encode(d, net, "doc_id", "text"), net, total, shard_words=3000))
+    assert total == sum(len(t.split()) for _, t in rows + rows[:9]) and len(net.index) == 8
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(nets[0].weights, nets[1].weights, strict=True))
+    assert not np.allclose(start[0], net.weights[0])
+    p = lambda net, t: lm_score.score_texts(net, [net.classes(t.split())[0].tobytes()], [b""])[0][0]
+    assert p(net, "a b c d a b c d") > p(net, "d a c b b d a c")
 
 
 def test_warc_round_trip_and_salvage(spark):
@@ -532,16 +620,3 @@ def test_pipeline_stages_take_nulls_repeats_and_extra_columns(spark):
             assert got[5, ""] == 4 and got[None, None] == 2 and sum(got.values()) <= n
         elif name == "SimHash near-dedup":
             assert max(got.values()) == 1 and got[5, ""] == 1 and (None, "eins zwei drei") in got
-
-
-def test_lm_trains_on_every_document(spark):
-    """A single document trains the network, whatever its id."""
-    start = lm_score.Net(["w1", "w2", "w3"])
-    for i in (None, 1, 2, 3):
-        net = lm_score.train(spark.createDataFrame([(i, "w1 w2 w3 " * 30)], "doc_id long, text string"))
-        assert net.index == start.index and not np.allclose(net.weights[0], start.weights[0])
-    to, at, rows = np.ones((5, 3), np.float32), np.array([4, 0, 4, 4]), np.arange(12, dtype=np.float32).reshape(4, 3)
-    want = to.copy()
-    np.add.at(want, at, rows)
-    lm_score._add_rows(to, at, rows)
-    assert (to == want).all()
