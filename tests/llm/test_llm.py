@@ -568,6 +568,65 @@ def test_quality(spark, edge):
     assert sum(sound) / len(sound) > 0.97
 
 
+def feature_rows(spark, groups):
+    """Rows as `fit` takes them, of given vectors, with the sampling variances of a long text."""
+    rows = [(g, "", False, *map(float, x)) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "lg string, sc string, base_failed boolean, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    return df.withColumns({v: F.lit(1e-4) for v in quality.NOISE})
+
+
+def numpy_mcd(x, floor, h=0.5, starts=300, seed=0):
+    """Least log-determinant over random starts, concentrated to the end."""
+    rng, n = np.random.default_rng(seed), len(x)
+    k, best = int(np.ceil(h * n)), (np.inf, None, None)
+    for _ in range(starts):
+        pick = rng.choice(n, 6, replace=False)
+        for _ in range(60):
+            m, c = x[pick].mean(axis=0), np.cov(x[pick].T, bias=True) + floor * np.eye(x.shape[1])
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            new = np.argsort(d, kind="stable")[:k]
+            if set(new) == set(pick):
+                break
+            pick = new
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(m), c.tobytes()))
+    return best[0], np.array(best[1])
+
+
+def test_quality_mcd_is_that_of_numpy(spark):
+    """Correlated groups with up to 40 % junk in one place: least determinant and centre as in NumPy."""
+    rng = np.random.default_rng(3)
+    groups = {}
+    for name, n, bad in (("a", 60, 0.4), ("b", 200, 0.3), ("c", 80, 0.0)):
+        mix = rng.normal(size=(4, 4)) * 0.2 + np.eye(4)
+        good = rng.normal(size=(n - int(bad * n), 4)) @ mix
+        groups[name] = np.concatenate([good, rng.normal(size=(int(bad * n), 4)) * 0.3 + [9, 7, -8, 9]])
+    stats = feature_rows(spark, groups)
+    names = quality._groups(stats)
+    rows = stats.join(names, ["lg", "sc"]).select("g", "lg", F.lit(0).cast("long").alias("salt"), *quality.FEATURES)
+    floors = names.select("g", *[F.lit(1e-4).alias(f"f_{i}") for i in range(4)])
+    parts = names.select("g", F.lit(0).cast("long").alias("salt"))
+    group_of = {r.lg: r.g for r in names.collect()}
+    got = {r.g: r for r in quality.mcd(rows.drop("lg"), floors, parts).collect()}
+    for name, x in groups.items():
+        r = got[group_of[name]]
+        least, centre = numpy_mcd(x, 1e-4)
+        assert r.log_det == pytest.approx(least, abs=0.45)
+        assert np.allclose([r[f"m_{i}"] for i in range(4)], centre, atol=0.5)
+
+
+def test_quality_each_feature_alone_can_reject(spark):
+    """In a tight group a row that is far in one statistic only is rejected, and the rest are kept."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4)) * [0.03, 0.01, 0.03, 0.03] + [1.6, 0.05, 0.1, 0.1]
+    x[4:120] += [0.5, 0, 0, 0]  # more than a quarter is junk of one kind
+    x[:4] = [1.601, 0.05, 0.1, 0.1] + np.diag([0.3, 0.2, 0.4, 0.4]) + np.arange(4)[:, None] * 1e-6
+    stats = feature_rows(spark, {"en": x})
+    kept = {r.x_len: r.kept for r in quality.apply(stats, quality.fit(stats)).collect()}
+    assert not any(kept[v] for v in x[:120, 0]) and sum(kept[v] for v in x[120:, 0]) >= 275
+    assert quality.chi2_quantile(0.5) == pytest.approx(quality.CHI2_MEDIAN, abs=1e-5)
+    assert quality.chi2_quantile(0.025) == pytest.approx(11.1433, abs=1e-3)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
