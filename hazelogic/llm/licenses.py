@@ -2,7 +2,8 @@
 
 A template is the wording of a license or notice. `[[...]]` is optional,
 `{{n}}` stands for up to n words of anyone's choosing, everything else is
-mandatory word for word. Each becomes a nondeterministic automaton over words.
+mandatory word for word (`license_texts` has whole licenses and the notices
+that stand for longer ones). Each becomes a nondeterministic automaton over words.
 One Aho-Corasick pass over a text finds where a template's opening words stand;
 the automaton then reads on from there and accepts if all mandatory wording
 follows exactly.
@@ -20,39 +21,12 @@ from pyspark.sql import functions as F
 
 from hazelogic.llm.common import ascii_lower
 from hazelogic.llm.decontam import WORD
+from hazelogic.llm.license_texts import TEMPLATES
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-_DISCLAIM = "this software is provided by the {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{14}} be liable for any direct indirect incidental special exemplary or consequential damages"
-_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
-
-#: Label and template; one label may have several.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied]]"),
-    ("mit", "released under the [[terms of the]] mit license"),
-    ("mit", "licensed under the [[terms of the]] mit license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("isc", "licensed under the [[terms of the]] isc license"),
-    ("bsd-3-clause", f"{_BSD} [[3]] neither the name of {{{{12}}}} nor the names of [[its]] [[other]] contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-2-clause", f"{_BSD} {_DISCLAIM}"),
-    ("bsd", "released under the [[terms of the]] bsd license"),
-    ("apache-2.0", "licensed under the apache license [[version 2 0]] the license you may not use this file except in compliance with the license [[you may obtain a copy of the license at]]"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version"),
-    ("gpl", "licensed under the gnu general public license [[version {{2}}]]"),
-    ("lgpl", "licensed under the gnu lesser general public license [[version {{2}}]]"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at]]"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications"),
-    ("cc-by-nc", "licensed under [[a]] [[creative commons]] cc by nc [[{{1}} 0]]"),
-    ("cc-by-sa", "licensed under [[a]] [[creative commons]] cc by sa [[{{1}} 0]]"),
-    ("cc-by-nd", "licensed under [[a]] [[creative commons]] cc by nd [[{{1}} 0]]"),
-    ("cc-by", "licensed under [[a]] creative commons attribution {{1}} 0 [[international]] license"),
-    ("cc0", "licensed under [[a]] [[creative commons]] cc0"),
-)
-
-_MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+")
+_MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\[\]{}]+")
 #: Opening words that the first pass looks for.
 OPENING = 4
 
@@ -79,11 +53,12 @@ class Automaton:
                     self.skip.setdefault(s, []).append(state)
                 leading = False
             else:
-                self.step[state] = part
-                state += 1
-                self.mandatory += not open_
-                if leading:
-                    self.opening.append(part)
+                for word in WORD.findall(ascii_lower(part)):
+                    self.step[state] = word
+                    state += 1
+                    self.mandatory += not open_
+                    if leading:
+                        self.opening.append(word)
         if open_ or not self.opening:
             raise ValueError(f"{label}: a template begins with mandatory words and closes what it opens")
         self.accept, self.opening = state, self.opening[:OPENING]
