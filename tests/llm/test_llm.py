@@ -27,16 +27,21 @@ def texts(n=60, seed=3):
     return [" ".join(rng.choices(vocab, k=rng.randint(1, 120))) for _ in range(n)]
 
 
-def test_tokens(spark, edge):
+@pytest.mark.parametrize("table_bytes", [0, 200, tokens.TABLE_BYTES])
+def test_tokens(spark, edge, table_bytes):
+    """As the library counts, with no frequent pre-token, a few, or all that occur twice looked up."""
     import public_tokenizers
     import sentencepiece
 
     file = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=file)
-    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(edge, file).collect())
-    assert got == sorted((i or 0, len((t or "").encode()), len(lib.encode(t or ""))) for i, t in EDGE)
-    for t in [" ", "a ", "  a", "▁a▁", "x\r y", "<s> </s>", "日本 語", "\x00 a"]:
-        assert tokens.PieceCounter(file).count([t]) == [len(lib.encode(t))]
+    odd = [" ", "a ", "  a", "▁a▁", "x\r y", "<s> </s>", "日本 語", "\x00 a", "the the the of of it", "x" * 3000 + " " + "x" * 3000, *texts(20)]
+    docs = edge.select("doc_id", "text", "n_tokens").unionByName(spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(odd)], "doc_id long, text string, n_tokens string"))
+    rows = EDGE + [(100 + i, t) for i, t in enumerate(odd)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(docs.repartition(3), file, table_bytes=table_bytes).collect())
+    assert got == sorted((i or 0, len((t or "").encode()), len(lib.encode(t or ""))) for i, t in rows)
+    table = tokens.frequent(docs, file, table_bytes=table_bytes)
+    assert sum(len(t.encode()) + tokens.ENTRY for t in table) <= table_bytes and (not table_bytes or " the" in table or table_bytes < 1000)
     assert tokens.count_tokens(edge.limit(0), file).count() == 0
 
 
@@ -364,6 +369,43 @@ def test_licenses(spark, edge):
     a = licenses.Automaton("x", "a b [[c d]] e {{2}} f")
     assert [a.match(t.split(), 0) for t in ("a b e f", "a b c d e x y f", "a b c e f", "a b e x y z f")] == [4, 8, -1, -1]
     assert licenses.scan_licenses(edge).count() == len(EDGE)
+    assert licenses.scan_licenses(edge.limit(0)).count() == 0
+
+
+def brute_template(template, words, at):
+    """All ends of a template read from `at`, by trying every choice."""
+    parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\[\]{}]+", template)
+
+    def go(k, ends):
+        while k < len(parts):
+            p = parts[k]
+            if p == "[[":
+                skipped = set(ends)
+                ends, k = go(k + 1, ends)
+                ends |= skipped
+            elif p == "]]":
+                return ends, k + 1
+            elif p.startswith("{{"):
+                ends, k = {e + j for e in ends for j in range(int(p[2:-2]) + 1) if e + j <= len(words)}, k + 1
+            else:
+                own = WORDS.findall(p.lower())
+                ends, k = {e + len(own) for e in ends if words[e : e + len(own)] == own}, k + 1
+        return ends, k
+
+    return max(go(0, {at})[0], default=-1)
+
+
+def test_license_automata_accept_what_brute_force_accepts():
+    """Every template: its own wording with options in, out, filled, and with one word changed."""
+    rng, scan = random.Random(1), licenses.scanner(tuple(licenses.BASE.items()), licenses.TEMPLATES)
+    for label, template in licenses.TEMPLATES:
+        plain = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(["who"] * rng.randint(0, int(m[1]))), template)
+        for text in (re.sub(r"\[\[|\]\]", " ", plain), re.sub(r"\[\[[^\[\]]*\]\]", " ", plain)):
+            words = WORDS.findall(text.lower())
+            assert label in {f[2] for f in scan.scan(f"Copyright someone. {text} And more.")["found"]}
+            for k in [None, *rng.sample(range(len(words)), min(6, len(words)))]:
+                changed = [w if i != k else "changed" for i, w in enumerate(words)]
+                assert licenses.Automaton(label, template).match(changed, 0) == brute_template(template, changed, 0)
 
 
 def brute_components(rows, k):
