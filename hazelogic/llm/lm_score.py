@@ -158,14 +158,19 @@ class Net:
         return cls, np.where(cls <= HASHED, np.minimum(spelled, 0), 0)
 
     def _forward(self, around: np.ndarray, group: np.ndarray):
+        """Input, hidden units, and exponentials of the scores of groups and of places in `group`."""
         emb, w1, b1, wg, bg, wp, bp = self.weights
-        x = emb[around].reshape(len(around), -1)
-        h = np.tanh(x @ w1 + b1)
+        x = emb.take(around.ravel(), axis=0).reshape(len(around), -1)
+        h = x @ w1
+        h += b1
+        np.tanh(h, out=h)
         a, b = h @ wg, h @ wp
         a += bg
-        b += bp[group]
-        a -= a.max(axis=1, keepdims=True)
-        b -= b.max(axis=1, keepdims=True)
+        b += bp.take(group, axis=0)
+        # hidden units stay within 1, so scores can only overflow with weights as large as this
+        if max(np.abs(w).sum(axis=0).max() + np.abs(c).max() for w, c in ((wg, bg), (wp, bp))) > 80:
+            a -= a.max(axis=1, keepdims=True)
+            b -= b.max(axis=1, keepdims=True)
         return x, h, a, b
 
     def log_p(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -173,28 +178,38 @@ class Net:
         group, place, i = target // GROUPS, target % GROUPS, np.arange(len(target))
         _, _, a, b = self._forward(around, group)
         own = a[i, group] + b[i, place]
-        return own - np.log(np.exp(a, out=a).sum(axis=1) * np.exp(b, out=b).sum(axis=1))
+        one = self._ones(a)
+        return own - np.log((np.exp(a, out=a) @ one) * (np.exp(b, out=b) @ one))
+
+    @staticmethod
+    def _ones(a: np.ndarray) -> np.ndarray:
+        return np.ones(a.shape[1], a.dtype)  # a product with ones sums rows faster than sum
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on the mean log-probability."""
         emb, w1, b1, wg, bg, wp, bp = self.weights
         group, place = target // GROUPS, target % GROUPS
         x, h, a, b = self._forward(around, group)
-        n, i = len(target), np.arange(len(target))
+        n, i, one = len(target), np.arange(len(target)), self._ones(a)
         da, db = np.exp(a, out=a), np.exp(b, out=b)
-        da /= -da.sum(axis=1, keepdims=True)
-        db /= -db.sum(axis=1, keepdims=True)
-        da[i, group] += 1
-        db[i, place] += 1
-        dh = (da @ wg.T + db @ wp.T) * (1 - h * h)
+        step = a.dtype.type(rate / n)
+        da *= (-step / (da @ one))[:, None]
+        db *= (-step / (db @ one))[:, None]
+        da[i, group] += step
+        db[i, place] += step
+        dh = da @ wg.T
+        dh += db @ wp.T
+        dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, WIDTH)
-        wg += rate / n * (h.T @ da)
-        bg += rate / n * da.sum(axis=0)
-        wp += rate / n * (h.T @ db)
-        _add_rows(bp, group, rate / n * db)
-        w1 += rate / n * (x.T @ dh)
-        b1 += rate / n * dh.sum(axis=0)
-        _add_rows(emb, around.ravel(), rate / n * dx)
+        wg += h.T @ da
+        bg += da.sum(axis=0)
+        wp += h.T @ db
+        hot = np.zeros((n, GROUPS), a.dtype)
+        hot[i, group] = 1
+        bp += hot.T @ db
+        w1 += x.T @ dh
+        b1 += dh.sum(axis=0)
+        _add_rows(emb, around.ravel(), dx)
 
 
 class Encoder:
@@ -353,7 +368,7 @@ def score_texts(net: Net, ids_of: list[bytes], spelled_of: list[bytes]) -> tuple
         if not len(at):
             continue
         around, target = _around(ids, at), ids[at]
-        log_p = np.concatenate([net.log_p(around[k : k + 4096], target[k : k + 4096]) for k in range(0, len(at), 4096)]).astype(np.float64)
+        log_p = np.concatenate([net.log_p(around[k : k + 1024], target[k : k + 1024]) for k in range(0, len(at), 1024)]).astype(np.float64)
         bits = np.zeros(len(at), np.uint16)
         hashed = target <= HASHED
         own = np.frombuffer(b"".join(spelled_of[lo:hi]), np.float16)
