@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazelogic.operators import fit
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
@@ -42,7 +44,8 @@ def conformal_margin(df: DataFrame, y: Column, lo: Column, hi: Column, alpha: fl
     miss = df.select(F.greatest(lo - y, y - hi, F.lit(0.0)).alias("m"))
     n = miss.count()
     level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n) if n else 1.0
-    return miss.agg(F.percentile("m", F.lit(level)).alias("margin"))
+    found = fit.quantiles(miss, "m", [level])
+    return df.sparkSession.createDataFrame([(found[0] if found else None,)], "margin double")
 
 
 def gram(df: DataFrame, design: list[Column], target: Column) -> DataFrame:

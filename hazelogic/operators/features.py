@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazelogic.operators import fit
+
 
 def wasserstein(df: DataFrame, value: str, side: Column) -> DataFrame:
     """The area between two empirical distribution functions, split by a boolean.
 
-    Values are counted first; running sums go over distinct values only.
+    Values are counted first; running sums go over blocks of distinct values.
+    A side without rows gives 0.
     """
-    counts = df.groupBy(F.col(value).alias("x")).agg(F.count(F.when(side, 1)).alias("u"), F.count(F.when(~side, 1)).alias("v"))
-    order = Window.partitionBy(F.lit(0)).orderBy("x")
-    run = counts.select("x", F.sum("u").over(order).alias("cu"), F.sum("v").over(order).alias("cv"), (F.lead("x").over(order) - F.col("x")).alias("dx"))
-    total = counts.agg(F.sum("u").alias("nu"), F.sum("v").alias("nv"))
-    gap = F.abs(F.col("cu") / F.col("nu") - F.col("cv") / F.col("nv")) * F.col("dx")
-    return run.join(F.broadcast(total)).agg(F.coalesce(F.sum(gap), F.lit(0.0)).alias("distance"))  # one row
+    from hazelogic.operators import interactions
+
+    two = df.where(side.isNotNull()).select(F.col(value), F.when(side, "u").otherwise("v").alias("side"))
+    return interactions.label_wasserstein(two, [value], "side").agg(F.coalesce(F.sum("distance"), F.lit(0.0)).alias("distance"))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -27,12 +31,16 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest((half(p, q) + half(q, p)) / 2, F.lit(0.0)))
 
 
-def label_separation(fits: DataFrame, label: str) -> DataFrame:
-    """For each feature the sum over label pairs of mean distance in pooled deviations."""
-    a, b = fits.alias("a"), fits.alias("b")
-    pairs = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col(f"a.{label}") < F.col(f"b.{label}")))
-    pooled = F.sqrt((F.pow("a.sigma", F.lit(2)) + F.pow("b.sigma", F.lit(2))) / 2)
-    return pairs.groupBy(F.col("a.feature").alias("feature")).agg(F.sum(F.when(pooled > 1e-10, F.abs(F.col("a.mu") - F.col("b.mu")) / pooled)).alias("score"))
+def differentiation(df: DataFrame, features: list[str], label: str, method: str = "composite") -> DataFrame:
+    """`feature, score`: the sum over pairs of labels of bhattacharyya, wasserstein or composite distances."""
+    from hazelogic.operators import interactions
+
+    return interactions.pair_distances(df, features, label).groupBy("feature").agg(F.sum(method).alias("score"))
+
+
+def take_top(ranked: DataFrame, top_p: float = 0.95, top_n: int = -1) -> DataFrame:
+    """Of ranked features the first `top_n`, or without it those that score at least 1 - top_p."""
+    return ranked.where(F.col("rank") <= top_n if top_n > 0 else F.col("score") >= 1 - top_p)
 
 
 def rank_features(scores: DataFrame, top: int | None = None) -> DataFrame:
@@ -44,10 +52,14 @@ def rank_features(scores: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def encode(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Adds the index of a value among its sorted distinct values."""
-    names = df.select(F.col(column).alias("__v")).distinct().where("__v is not null")
-    index = names.withColumn(to, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__v")) - 1)
-    return df.join(index, df[column] == index["__v"], "left").drop("__v")
+    """Adds the index of a value among its sorted distinct values; null has none.
+
+    Distinct values are sorted by range and numbered partition by partition.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    names = df.select(F.col(column).alias("v")).distinct().where("v is not null").orderBy("v")
+    index = df.sparkSession.createDataFrame(names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"__v {kind}, `{to}` long")
+    return df.join(index.withColumn(to, F.col(to).cast("int")), df[column] == index["__v"], "left").drop("__v")
 
 
 def variance_ranking(df: DataFrame, features: list[str]) -> DataFrame:
@@ -63,6 +75,51 @@ def output_buckets(df: DataFrame, value: str, n: int) -> tuple[DataFrame, list[f
     return df.withColumn("bucket", at), edges
 
 
+#: Buckets of fewer rows give a rule that is fitted on almost nothing.
+STARVED = 5
+
+
+def output_partition(df: DataFrame, value: str, n: int, method: str = "uniform", pin: bool | None = None) -> tuple[DataFrame, list[float]]:
+    """Adds `bucket` and returns the buckets' means.
+
+    `uniform` cuts equal widths, `quantile` equal counts (edges that coincide
+    are merged). Means of empty buckets are filled in linearly from their
+    neighbours; with `pin` (the default for quantiles) the first and last are
+    the least and the greatest value. A bucket of fewer than `STARVED` rows warns.
+    """
+    if method not in ("uniform", "quantile"):
+        raise ValueError(f"unknown method: {method}")
+    ends = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    lo, hi = ends if ends[0] is not None else (0.0, 0.0)
+    edges = [lo + (hi - lo) * k / n for k in range(1, n)] if method == "uniform" else sorted(set(fit.quantiles(df, value, [k / n for k in range(1, n)])))
+    at = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0)) if hi > lo else F.lit(0)
+    cut = df.withColumn("bucket", at.cast("int"))
+    seen = {r.bucket: (r.m, r.n) for r in cut.where(F.col(value).isNotNull()).groupBy("bucket").agg(F.avg(value).alias("m"), F.count("*").alias("n")).collect()}  # n rows at most
+    thin = [k for k in range(n) if seen.get(k, (0, 0))[1] < STARVED]
+    if thin and seen:
+        warnings.warn(f"buckets {thin} hold fewer than {STARVED} rows; transform the target before the fit", stacklevel=2)
+    known = sorted(seen)
+    means = [float(x) for x in np.interp(range(n), known, [seen[k][0] for k in known])] if known else [0.0] * n
+    if pin if pin is not None else method == "quantile":
+        means[0], means[-1] = float(lo), float(hi)
+    return cut, means
+
+
+def log_columns(df: DataFrame, columns: list[str], chosen: list[str | int] | None = None, decades: float = 3.0) -> list[str]:
+    """Columns to take the logarithm of: those chosen by name or position, else those found to span the decades.
+
+    A name or position that is not there raises.
+    """
+    if chosen is None:
+        return [r.feature for r in log_scale_columns(df, columns, decades).where("log_scaled").collect()]
+    out = []
+    for c in chosen:
+        if isinstance(c, int) and not -len(columns) <= c < len(columns) or isinstance(c, str) and c not in columns:
+            raise ValueError(f"no such column: {c}")
+        out.append(columns[c] if isinstance(c, int) else c)
+    return out
+
+
 def log_scale_columns(df: DataFrame, features: list[str], decades: float = 3.0) -> DataFrame:
     """Which features span at least so many decades of magnitude."""
     size = lambda f: F.when(F.col(f) != 0, F.abs(F.col(f).cast("double")))

@@ -24,7 +24,7 @@ def class_prior(df: DataFrame, label: str) -> DataFrame:
     """Log share of each label."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(label, "n", F.log(F.col("n") / F.col("total")).alias("log_prior"))  # one row
+    return counts.join(total).select(label, "n", F.log(F.col("n") / F.col("total")).alias("log_prior"))  # one row
 
 
 def variance_floor(df: DataFrame, features: list[str], share: float = 1e-9) -> DataFrame:
@@ -32,6 +32,53 @@ def variance_floor(df: DataFrame, features: list[str], share: float = 1e-9) -> D
     return melt(df, features).groupBy("feature").agg((F.var_pop("value") * share).alias("floor"))
 
 
+#: Bins of a pass that narrows order statistics down.
+BINS = 2048
+
+
+def order_statistics(df: DataFrame, value: str, places: list[int]) -> list[float]:
+    """The values that stand at `places` (from 0) in ascending order; nulls and NaNs don't count.
+
+    A pass counts values in `BINS` bins of each open interval and goes on in the
+    bins that hold a place, until these hold one value: the driver and no task
+    ever get more than bins.
+    """
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    first = rows.agg(F.min("x"), F.max("x")).first()
+    found: dict[int, float] = {}
+    todo = {(first[0], first[1], 0): sorted(set(places))} if first[0] is not None else {}
+    while todo:
+        spans = list(todo)
+        at = F.coalesce(*[F.when((F.col("x") >= lo) & (F.col("x") <= hi), i) for i, (lo, hi, _) in enumerate(spans)])
+        low = F.element_at(F.array(*[F.lit(s[0]) for s in spans]), F.col("at") + 1)
+        wide = F.element_at(F.array(*[F.lit(max(s[1] - s[0], 1e-300)) for s in spans]), F.col("at") + 1)
+        bins = rows.withColumn("at", at).where("at is not null").withColumn("bin", F.least(F.floor((F.col("x") - low) / wide * BINS), F.lit(BINS - 1)))
+        counts = sorted(bins.groupBy("at", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: (r.at, r.bin))
+        new: dict = {}
+        for i, s in enumerate(spans):
+            seen = s[2]
+            for r in (r for r in counts if r.at == i):
+                inside = [k for k in todo[s] if seen <= k < seen + r.n]
+                if r.lo == r.hi:
+                    found.update(dict.fromkeys(inside, r.lo))
+                elif inside:
+                    new[r.lo, r.hi, seen] = inside
+                seen += r.n
+        todo = new
+    return [found[k] for k in places]
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation between neighbours; none for a column without values."""
+    n = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)").count()
+    if not n:
+        return []
+    at = [q * (n - 1) for q in shares]
+    places = [k for p in at for k in (math.floor(p), min(math.floor(p) + 1, n - 1))]
+    v = order_statistics(df, value, places)
+    return [v[2 * i] + (p - math.floor(p)) * (v[2 * i + 1] - v[2 * i]) for i, p in enumerate(at)]
+
+
 def mixture_bic(df: DataFrame, value: str, parts: list[tuple[float, float, float]]) -> DataFrame:
     """BIC of a mixture of (mu, sigma, weight): n, log-likelihood and criterion."""
     x = F.col(value)
@@ -49,7 +96,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: str | None = None)
     key = [by] if by else []
     rows = df.select(*key, F.col(value).cast("double").alias("x")).where("x is not null")
     ends = rows.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    rows = rows.join(F.broadcast(ends), key) if key else rows.join(F.broadcast(ends))  # one row a label
+    rows = rows.join(ends, key) if key else rows.join(ends)  # one row a label: Spark checks its size
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     return rows.groupBy(*key, at.alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))

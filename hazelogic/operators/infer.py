@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazelogic.functions import membership, norms
+from hazelogic.functions import membership, norms, shapes
+from hazelogic.functions.shapes import Shape
 
 ZERO_FIRING = 1e-6
 #: Most rows of a model that are collected to the driver.
@@ -23,9 +24,9 @@ MAX_MODEL = 100_000
 
 
 class Model:
-    """Gaussian memberships by feature and label, with labels in order."""
+    """Memberships by feature and label, with labels in order: Gaussians as (mu, sigma), or shapes."""
 
-    def __init__(self, cells: dict[tuple[str, str], list[tuple[float, float]]]):
+    def __init__(self, cells: dict[tuple[str, str], list[tuple[float, float] | Shape]]):
         self.cells = cells
         self.features = sorted({f for f, _ in cells})
         self.labels = sorted({x for _, x in cells})
@@ -44,6 +45,18 @@ class Model:
     def widened(self, scale: float) -> Model:
         return Model({k: [(m, s * scale) for m, s in v] for k, v in self.cells.items()})
 
+    def shapes(self) -> dict[tuple[str, str], list[Shape]]:
+        """All memberships as shapes."""
+        return {k: [p if isinstance(p, Shape) else shapes.gaussian(*p) for p in v] for k, v in self.cells.items()}
+
+    def mapped(self, f: Callable[[Shape], Shape]) -> Model:
+        """The model of every membership's image, such as its triangle."""
+        return Model({k: [f(p) for p in v] for k, v in self.shapes().items()})
+
+    def with_more(self, cells: dict[tuple[str, str], list[tuple[float, float] | Shape]]) -> Model:
+        """The model with further memberships at the end of their cells."""
+        return Model({k: [*self.cells.get(k, []), *cells.get(k, [])] for k in {**self.cells, **cells}})
+
 
 def firing(model: Model, t_norm: str = "probability", t_conorm: str | None = None, skip_missing: bool = False, columns: list[str] | None = None) -> Column:
     """Array of firing strengths in label order: OR inside a cell, AND across features."""
@@ -51,7 +64,8 @@ def firing(model: Model, t_norm: str = "probability", t_conorm: str | None = Non
     if len(present) < len(model.features) and not skip_missing:
         raise ValueError(f"missing features: {sorted(set(model.features) - set(present))}")
     both = norms.resolve(t_norm, t_norm, t_conorm or t_norm, allow_mixed=True)
-    cell = lambda f, x: norms.fold_or([membership.gaussian(F.col(f).cast("double"), m, s) for m, s in model.cells.get((f, x), [])], both[1])
+    part = lambda f, p: p.at(F.col(f).cast("double")) if isinstance(p, Shape) else membership.gaussian(F.col(f).cast("double"), *p)
+    cell = lambda f, x: norms.fold_or([part(f, p) for p in model.cells.get((f, x), [])], both[1])
     return F.array(*[norms.fold_and([cell(f, x) for f in present], both[0]) for x in model.labels])
 
 
@@ -68,8 +82,7 @@ def classify(strengths: Column, labels: list[str]) -> Column:
 
 def probabilities(strengths: Column, n: int) -> Column:
     """Strengths over their sum; uniform where nothing fires."""
-    total = F.aggregate(strengths, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total == 0, F.array_repeat(F.lit(1.0 / n), n)).otherwise(F.transform(strengths, lambda x: x / total))
+    return _with_total(strengths, lambda s, t: F.when(t == 0, F.array_repeat(F.lit(1.0 / n), n)).otherwise(F.transform(s, lambda x: x / t)))
 
 
 def _with_total(strengths: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -83,6 +96,9 @@ def normalised(strengths: Column) -> Column:
     return _with_total(strengths, lambda s, t: F.transform(s, lambda x: F.when(t <= ZERO_FIRING, 0.0).otherwise(x / t)))
 
 
+ORDERS = {"0th": 0, "1st": 1, "2nd": 2, "3rd": 3, "full-2nd": 2}
+
+
 def basis(x: Column, order: int, kind: str = "raw") -> list[Column]:
     """Consequent terms of a feature up to an order, as powers or Legendre polynomials."""
     if kind == "raw":
@@ -91,6 +107,35 @@ def basis(x: Column, order: int, kind: str = "raw") -> list[Column]:
     return forms[:order]
 
 
+def consequent_terms(features: list[str], order: str = "2nd", kind: str = "raw", pairs: list[tuple[str, str]] | None = None, centres: list[list[float]] | None = None, gamma: float = 1.0, radius: float | None = None) -> list[Column]:
+    """The terms that a rule's value is linear in, beside its constant.
+
+    Orders 0th to 3rd take powers of each feature one order after another,
+    full-2nd the second order and the products of `pairs` (all by default).
+    Kind `rbf` takes exp(-gamma distance^2) to each centre, 0 beyond `radius`.
+    """
+    x = [F.col(f).cast("double") for f in features]
+    if kind == "rbf":
+        d2 = [sum(((v - c) * (v - c) for v, c in zip(x[1:], centre[1:], strict=True)), (x[0] - centre[0]) * (x[0] - centre[0])) for centre in centres or []]
+        return [F.exp(-gamma * d) if radius is None else F.when(d <= radius * radius, F.exp(-gamma * d)).otherwise(0.0) for d in d2]
+    by_order = [basis(v, ORDERS[order], kind) for v in x]
+    out = [terms[k] for k in range(ORDERS[order]) for terms in by_order]
+    if order == "full-2nd":
+        chosen = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]] if pairs is None else pairs
+        out += [F.col(a).cast("double") * F.col(b) for a, b in chosen]
+    return out
+
+
+def rule_values(means: list[float], corrections: list[list[float]], terms: list[Column]) -> list[Column]:
+    """Each rule's value: its mean and the terms times its corrections."""
+    return [sum((t * float(c) for t, c in zip(terms, own, strict=True)), F.lit(float(m))) for m, own in zip(means, corrections, strict=True)]
+
+
+def midpoints(lower: Column, upper: Column) -> Column:
+    """Type-reduced strength of each rule: the middle of its interval."""
+    return F.zip_with(lower, upper, lambda a, b: (a + b) / 2)
+
+
 def tsk_value(weights: Column, values: list[Column]) -> Column:
     """Sum of normalised strength times rule value."""
     return F.aggregate(F.zip_with(weights, F.array(*values), lambda w, v: w * v), F.lit(0.0), lambda a, x: a + x)
@@ -142,22 +187,28 @@ def combine_planes(planes: list[tuple[float, Column]]) -> Column:
 
 
 def log_evidence(model: Model, log_prior: dict[str, float], floor: dict[str, float]) -> Column:
-    """Array in label order: log prior plus log-densities of single Gaussians (naive Bayes)."""
+    """Array in label order: log prior plus the log of each feature's mean density over its Gaussians.
+
+    With one Gaussian a cell this is naive Bayes.
+    """
     out = []
     for x in model.labels:
         total = F.lit(log_prior[x])
         for f in model.features:
-            (m, s), *_ = model.cells[f, x]
-            var = s * s + floor.get(f, 0.0)
-            total = total - F.pow(F.col(f) - m, 2) / (2 * var) - 0.5 * float(np.log(2 * np.pi * var))
+            parts = []
+            for m, s in model.cells[f, x]:
+                var = s * s + floor.get(f, 0.0)
+                parts.append(-F.pow(F.col(f) - m, 2) / (2 * var) - 0.5 * float(np.log(2 * np.pi * var)))
+            top = F.greatest(*parts) if len(parts) > 1 else parts[0]
+            total = total + (top if len(parts) == 1 else top + F.log(sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top)) / len(parts)))
         out.append(total)
     return F.array(*out)
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(scores, lambda x: F.exp(x - top) / total)
+    once = lambda x, g: F.get(F.transform(F.array(x), g), F.lit(0))
+    raised = once(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return _with_total(raised, lambda e, t: F.transform(e, lambda x: x / t))
 
 
 def surprisal(memberships: list[Column], trim: int = 0) -> Column:

@@ -40,11 +40,21 @@ def mean_loss(df: DataFrame, features: list[str], target: str, loss: Loss, candi
                 x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                 n += len(x)
                 total += [float(loss(x[:, :-1], x[:, -1], c).sum()) for c in candidates]
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([list(total)], pa.list_(pa.float64()))], names=["n", "t"])
+        yield _at_places(np.append(total, n))
 
-    parts = rows.mapInArrow(run, "n long, t array<double>").collect()  # one row a task
-    n = sum(r.n for r in parts)
-    return sum((np.array(r.t) for r in parts), np.zeros(len(candidates))) / max(n, 1)
+    sums = _sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) + 1)
+    return sums[:-1] / max(sums[-1], 1)
+
+
+def _at_places(v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(v.size)), pa.array(v.ravel().astype(float))], names=["i", "v"])
+
+
+def _sum_places(parts: DataFrame, size: int) -> np.ndarray:
+    """Tasks' vectors summed by place, so the driver gets one however many tasks there are."""
+    got, out = parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow(), np.zeros(size)
+    out[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    return out
 
 
 # ------------------------------------------------------------ models as vectors
@@ -84,12 +94,54 @@ def firing_np(model: Model, x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+class IncrementalFiring:
+    """`firing_np` for many candidates over one batch: only cells that a candidate moves are worked out anew.
+
+    The memberships of a base vector are kept by cell; a candidate pays for its
+    changed cells and one product over features for each label they touch.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.x, self.base = model, None, None
+        at, self.places = 0, {}
+        for k in sorted(model.cells):
+            self.places[k] = (at, at + 2 * len(model.cells[k]))
+            at = self.places[k][1]
+
+    def _cell(self, k: tuple[str, str], v: np.ndarray) -> np.ndarray:
+        lo, hi = self.places[k]
+        x, miss = self.x[:, self.model.features.index(k[0])], 1.0
+        for i in range(lo, hi, 2):
+            miss = miss * (1 - np.exp(-0.5 * ((x - v[i]) / max(v[i + 1], 1e-6)) ** 2))
+        return 1 - miss
+
+    def __call__(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if x is not self.x or self.base is None:
+            self.x, self.base = x, v.copy()
+            self.cells = {k: self._cell(k, v) for k in self.places}
+            self.total = np.ones((len(x), len(self.model.labels)))
+            for (_, label), c in self.cells.items():
+                self.total[:, self.model.labels.index(label)] *= c
+            return self.total
+        moved = [k for k, (lo, hi) in self.places.items() if not np.array_equal(v[lo:hi], self.base[lo:hi])]
+        if not moved:
+            return self.total
+        new, out = {k: self._cell(k, v) for k in moved}, self.total.copy()
+        for label in {label for _, label in moved}:
+            j = self.model.labels.index(label)
+            out[:, j] = 1.0
+            for k, c in self.cells.items():
+                if k[1] == label:
+                    out[:, j] *= new.get(k, c)
+        return out
+
+
 def cross_entropy(model: Model, start: np.ndarray, box: np.ndarray, l2: float = 0.05) -> Loss:
     """-log of the true label's probability (target: label number), with pull towards the start in box widths."""
-    width = np.maximum(box[:, 1] - box[:, 0], 1e-12)
+    width, fire = np.maximum(box[:, 1] - box[:, 0], 1e-12), IncrementalFiring(model)
 
     def loss(x, y, v):
-        s = firing_np(model, x, v)
+        s = fire(x, v)
         total = s.sum(axis=1, keepdims=True)
         p = np.where(total > 0, s / np.where(total > 0, total, 1), 1.0 / s.shape[1])[np.arange(len(x)), y.astype(int)]
         return -np.log(np.clip(p, LEAST_PROBABILITY, None)) + l2 * float((((v - start) / width) ** 2).mean())
@@ -97,22 +149,24 @@ def cross_entropy(model: Model, start: np.ndarray, box: np.ndarray, l2: float =
     return loss
 
 
-def midpoint(model: Model, values: np.ndarray, base: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def midpoint(model: Model, values: np.ndarray | Callable[[np.ndarray], np.ndarray], base: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Midpoint of a type-2 prediction, as a function of rows and of a width for each membership.
 
     The upper model widens deviations by 1 + w / 2, the lower narrows them to
-    max(0.1, 1 - w), so lower never exceeds upper. `values`: one a label.
+    max(0.1, 1 - w), so lower never exceeds upper. `values`: one a label, or a
+    function of the rows that gives one a row and label.
     """
     sig = np.arange(1, len(base), 2)
+    of = values if callable(values) else lambda x: np.broadcast_to(values, (len(x), len(values)))
 
     def mid(x, w):
-        out = 0.0
+        out, own = 0.0, of(x)
         for scale in (1 + w / 2, np.maximum(membership.LEAST_LOWER_SCALE, 1 - w)):
             v = base.copy()
             v[sig] = base[sig] * scale
             s = firing_np(model, x, v)
             t = s.sum(axis=1)
-            out = out + np.where(t <= ZERO_FIRING, 0.0, (s @ values) / np.where(t > 0, t, 1)) / 2
+            out = out + np.where(t <= ZERO_FIRING, 0.0, (s * own).sum(axis=1) / np.where(t > 0, t, 1)) / 2
         return out
 
     return mid
@@ -244,17 +298,177 @@ def projected_gradient(evaluate: Evaluate, start: np.ndarray, box: np.ndarray, s
     return x, value
 
 
+def swarm(evaluate: Evaluate, start: np.ndarray, box: np.ndarray, population: int = 20, generations: int = 10, inertia: float = 0.7, pull: float = 1.5, seed: int = 42) -> tuple[np.ndarray, float]:
+    """Particles drawn to their own best and the best of all; a move of the swarm is one pass."""
+    rng, lo, hi = np.random.default_rng(seed), box[:, 0], box[:, 1]
+    x = np.clip(start + rng.normal(0, 0.1, (population, len(start))) * (hi - lo), lo, hi)
+    x[0] = np.clip(start, lo, hi)
+    v, own = np.zeros_like(x), x.copy()
+    best = evaluate(x)
+    for _ in range(generations):
+        top = own[best.argmin()]
+        v = inertia * v + pull * rng.random(x.shape) * (own - x) + pull * rng.random(x.shape) * (top - x)
+        x = np.clip(x + v, lo, hi)
+        got = evaluate(x)
+        better = got < best
+        own[better], best[better] = x[better], got[better]
+    return own[best.argmin()], float(best.min())
+
+
+def ant_colony(evaluate: Evaluate, start: np.ndarray, box: np.ndarray, population: int = 20, generations: int = 10, locality: float = 0.3, spread: float = 0.85, seed: int = 42) -> tuple[np.ndarray, float]:
+    """Continuous ant colony: an archive of solutions, each parameter drawn about one of them; a generation is one pass."""
+    rng, lo, hi = np.random.default_rng(seed), box[:, 0], box[:, 1]
+    archive = np.clip(start + rng.normal(0, 0.1, (population, len(start))) * (hi - lo), lo, hi)
+    archive[0] = np.clip(start, lo, hi)
+    value = evaluate(archive)
+    rank = np.exp(-(np.arange(population) ** 2) / (2 * (locality * population) ** 2))
+    for _ in range(generations):
+        order = np.argsort(value, kind="stable")
+        archive, value = archive[order], value[order]
+        pick = rng.choice(population, (population, len(start)), p=rank / rank.sum())
+        centre = np.take_along_axis(archive, pick, axis=0)
+        width = spread * np.abs(archive[None] - centre[:, None]).sum(axis=1) / max(population - 1, 1)
+        ants = np.clip(rng.normal(centre, np.maximum(width, 1e-12)), lo, hi)
+        both, vals = np.concatenate([archive, ants]), np.concatenate([value, evaluate(ants)])
+        keep = np.argsort(vals, kind="stable")[:population]
+        archive, value = both[keep], vals[keep]
+    return archive[0], float(value[0])
+
+
+def population_search(evaluate: Evaluate, start: np.ndarray, box: np.ndarray, method: str = "ga", share: float = 0.5, **options) -> tuple[np.ndarray, float]:
+    """ga, pso, aco, or multi (the best of the three) in a box of `share` of the width around the start.
+
+    Never worse than the start.
+    """
+    half = (box[:, 1] - box[:, 0]) * share / 2
+    near = np.stack([np.maximum(box[:, 0], start - half), np.minimum(box[:, 1], start + half)], axis=1)
+    ways = {"ga": genetic, "pso": swarm, "aco": ant_colony}
+    if method != "multi" and method not in ways:
+        raise ValueError(f"unknown search: {method}")
+    found = [ways[m](evaluate, start, near, **options) for m in (ways if method == "multi" else [method])]
+    return min([(np.asarray(start, float), float(evaluate(np.asarray(start, float)[None])[0])), *found], key=lambda r: r[1])
+
+
 def refine_classifier(df: DataFrame, model: Model, label: str, method: str = "coordinate", l2: float = 0.05, **options) -> tuple[Model, float]:
-    """The model with memberships moved to lessen cross-entropy; `method`: coordinate, ga or local."""
+    """The model with memberships moved to lessen cross-entropy; `method`: coordinate, local, ga, pso, aco or multi."""
     number = F.array_position(F.array(*map(F.lit, model.labels)), F.col(label)) - 1
     rows = df.withColumn("__label", number).where(F.col("__label") >= 0)
     x0, box = to_vector(model), bounds(df, model)
     loss = cross_entropy(model, x0, box, l2)
-    search = {"coordinate": coordinate_descent, "ga": genetic, "local": projected_gradient}[method]
+    ways = {"coordinate": coordinate_descent, "ga": genetic, "local": projected_gradient}
+    search = ways.get(method) or (lambda *a, **o: population_search(*a, method=method, **o))
     v, value = search(lambda c: mean_loss(rows, model.features, "__label", loss, c), x0, box, **options)
     return from_vector(model, v), value
 
 
+def refine_regressor(df: DataFrame, regressor, folds: int = 3, fold: Column | None = None, method: str = "coordinate", **options) -> float:
+    """Moves a TSK regressor's memberships to lessen its cross-validated squared error; returns that.
+
+    Every candidate gets consequents of its own: a pass sums its Gram matrix
+    by fold, and what the other folds solve is scored on each fold's matrix
+    alone. Rows are dealt to folds by `fold`, or by a hash of all they hold.
+    """
+    features, model, n = regressor.features, regressor.model, len(regressor.model.labels)
+    terms = regressor.terms()
+    fold = F.pmod(F.xxhash64(*df.columns), F.lit(folds)) if fold is None else fold
+    rows = df.select(fold.cast("int").alias("f"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.array(F.lit(1.0), *terms).alias("p"), F.col(regressor.target).cast("double").alias("y"))
+    bad = lambda v: v.isNull() | F.isnan(v)
+    rows = rows.where(~F.exists("x", bad) & ~F.exists("p", bad) & ~bad(F.col("y")))
+    block = 1 + len(terms)
+    size = n * block + 1
+    order = [model.features.index(f) for f in features]
+
+    def grams(candidates: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, fire = np.zeros((len(candidates), folds, size, size)), IncrementalFiring(model)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, p = (np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (1, 2))
+                own = np.empty_like(x)
+                own[:, order] = x
+                at, y = b.column(0).to_numpy(), b.column(3).to_numpy()
+                for c, v in enumerate(candidates):
+                    s = fire(own, v)
+                    t = s.sum(axis=1, keepdims=True)
+                    w = np.where(t <= ZERO_FIRING, 0.0, s / np.where(t > 0, t, 1))
+                    d = np.column_stack([(w[:, :, None] * p[:, None, :]).reshape(len(p), -1), y])
+                    for k in range(folds):
+                        part = d[at == k]
+                        total[c, k] += part.T @ part
+            yield _at_places(total.ravel())
+
+        return _sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) * folds * size * size).reshape(len(candidates), folds, size, size)
+
+    count = max(rows.count(), 1)
+
+    def evaluate(candidates: np.ndarray) -> np.ndarray:
+        from hazelogic.operators import tsk
+
+        out = []
+        for g in grams(candidates):
+            whole, err = g.sum(axis=0), 0.0
+            for k in range(folds):
+                rest = whole - g[k]
+                means, more = tsk.solve(rest[:-1, :-1], rest[:-1, -1], n, regressor.l2)
+                beta = np.append(np.column_stack([means, more]).ravel(), -1.0)
+                err += float(beta @ g[k] @ beta)
+            out.append(err / count)
+        return np.array(out)
+
+    start, box = to_vector(model), bounds(df, model)
+    search = {"coordinate": coordinate_descent, "local": projected_gradient}.get(method) or (lambda *a, **o: population_search(*a, method=method, **o))
+    v, value = search(evaluate, start, box, **options)
+    regressor.model = from_vector(model, v)
+    regressor.resolve(df)
+    return value
+
+
+def refine_widths(df: DataFrame, estimator, most: float = 0.9, **options) -> float:
+    """Moves the width of every membership of a `Type2Regressor` to lessen the squared error of its middle; returns that.
+
+    One width a membership keeps the lower bound below the upper; with planes
+    the principal membership stays where it is.
+    """
+    from hazelogic.operators import type2
+
+    base, features = estimator.base, estimator.base.model.features
+    means, more = np.asarray(base.means), np.asarray(base.corrections)
+    terms = [t.alias(f"t{i}") for i, t in enumerate(base.terms())]
+    rows = df.select(*features, *terms, F.col(estimator.target).alias("__y"))
+    k = len(features)
+    values = lambda x: means + x[:, k:] @ more.T if more.shape[1] else np.broadcast_to(means, (len(x), len(means)))
+    vector = to_vector(base.model)
+    make = plane_loss if estimator.planes else interval_loss
+    loss = make(base.model, values, vector, *([estimator.planes] if estimator.planes else []))
+    start = np.full(len(vector) // 2, estimator.width)
+    box = np.tile([0.0, most], (len(start), 1))
+    v, value = coordinate_descent(lambda c: mean_loss(rows, [*features, *[f"t{i}" for i in range(len(terms))]], "__y", loss, c), start, box, block=1, **options)
+    estimator.model = type2.Type2.of(base.model, type2.widths_like(base.model, v), estimator.planes > 0)
+    return value
+
+
+def refine_partition(df: DataFrame, part, label: str, labels: list[str], guard: str = "legacy", **options):
+    """A partition with its knots moved to lessen cross-entropy, kept only if the guard accepts it; and the loss."""
+    from hazelogic.operators import infer, rulebase
+
+    names = list(part.knots)
+    rules = [(labels.index(r.label), r.clauses) for r in part.ruleset]
+    number = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
+    rows = df.withColumn("__label", number).where(F.col("__label") >= 0)
+    loss = knot_loss(part.knots, rules, len(labels))
+    start = np.array([k for f in names for k in part.knots[f]])
+    box = np.array([(ks[max(i - 1, 0)], ks[min(i + 1, len(ks) - 1)]) for ks in part.knots.values() for i in range(len(ks))])
+    evaluate = lambda c: mean_loss(rows, names, "__label", loss, c)
+    before = float(evaluate(start[None])[0])
+    v, after = coordinate_descent(evaluate, start, box, block=1, **options)
+    it = iter(map(float, v))
+    moved = rulebase.Partition({f: sorted(next(it) for _ in part.knots[f]) for f in names}, part.ruleset)
+    both = rows.select(label, *[infer.classify(rulebase.partition_probabilities(p, labels), labels).alias(n) for n, p in (("__b", part), ("__a", moved))])
+    r = paired_counts(both, label, "__b", "__a").first()
+    return (moved, after) if accept(guard, r.n, r.only_before, r.only_after, before, after) else (part, before)
+
+
 # ------------------------------------------------------------ gradients and guards
 
 
@@ -345,11 +559,10 @@ def em_experts(df: DataFrame, features: list[str], target: str, start: list[floa
                 total = top + np.log(np.exp(w - top).sum(axis=1, keepdims=True))
                 ll += float(total.sum())
                 gram += np.einsum("nk,ni,nj->kij", np.exp(w - total), v, v)
-            yield pa.RecordBatch.from_arrays([pa.array([ll]), pa.array([list(gram.ravel())], pa.list_(pa.float64()))], names=["ll", "g"])
+            yield _at_places(np.append(gram.ravel(), ll))
 
-        parts = rows.mapInArrow(run, "ll double, g array<double>").collect()  # one row a task
-        gram = sum((np.array(r.g) for r in parts), np.zeros(k * (p + 1) ** 2)).reshape(k, p + 1, p + 1)
-        ll = sum(r.ll for r in parts)
+        sums = _sum_places(rows.mapInArrow(run, "i long, v double"), k * (p + 1) ** 2 + 1)
+        gram, ll = sums[:-1].reshape(k, p + 1, p + 1), float(sums[-1])
         if ll > best_ll:
             best, best_ll = state, ll
         if ll - last < tol * max(abs(last), 1.0) and np.isfinite(last):

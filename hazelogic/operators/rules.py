@@ -47,9 +47,59 @@ def term_tuples(df: DataFrame, label: str, terms: dict[str, list[Column]], least
     return counts.where(F.col("n") >= F.lit(1)).withColumn("all", F.sum("n").over(total)).where(F.col("n") >= F.ceil(F.col("all") * least_share)).drop("all")
 
 
-def rule_text(mf: DataFrame, label: str) -> DataFrame:
+def joint_clusters(tuples: DataFrame, label: str) -> dict:
+    """For each label the groups of winning-term tuples that touch: neighbours differ by at most one in every term.
+
+    `tuples` is a result of `term_tuples` with a least share, so its rows are
+    bounded by labels over that share; they are grouped on the driver.
+    """
+    names = [c for c in tuples.columns if c.startswith("t_")]
+    left: dict = {}
+    for r in tuples.collect():
+        left.setdefault(r[label], set()).add(tuple(r[c] for c in names))
+    out: dict = {}
+    for x, rest in left.items():
+        out[x] = []
+        while rest:
+            todo = [min(rest)]
+            rest.discard(todo[0])
+            group = set(todo)
+            while todo:
+                t = todo.pop()
+                near = {u for u in rest if max((abs(a - b) for a, b in zip(t, u, strict=True)), default=0) <= 1}
+                rest -= near
+                group |= near
+                todo += near
+            out[x].append(sorted(group))
+    return out
+
+
+def model_report(mf: DataFrame, label: str) -> DataFrame:
+    """One row: features, labels, memberships, and the rules that a full grid of them would make."""
+    cells = mf.groupBy("feature").agg(F.count("*").alias("n"))
+    one = cells.agg(F.count("*").alias("features"), F.sum("n").alias("memberships"), F.product("n").cast("long").alias("grid_rules"))
+    return one.join(mf.agg(F.countDistinct(label).alias("labels"))).select("features", "labels", "memberships", "grid_rules")  # one row each
+
+
+def dedup_model(cells: dict[tuple[str, str], list]) -> tuple[dict[tuple[str, str], list], dict[tuple, tuple]]:
+    """Drops shapes near an earlier one of the same feature, whatever its label; and what each maps to.
+
+    Cells are taken in order of label; a dropped shape maps to the last earlier
+    one that it is near, followed to a shape that stays.
+    """
+    target: dict[tuple, tuple] = {}
+    for f in sorted({k[0] for k in cells}):
+        order = [(k, i, p) for k in sorted(cells) if k[0] == f for i, p in enumerate(cells[k])]
+        for n, (k, i, p) in enumerate(order):
+            match = next(((*q[0], q[1]) for q in reversed(order[:n]) if q[2].near(p)), None)
+            target[(*k, i)] = target.get(match, match) if match else (*k, i)
+    kept = {k: [p for i, p in enumerate(v) if target[(*k, i)] == (*k, i)] for k, v in cells.items()}
+    return kept, target
+
+
+def rule_text(mf: DataFrame, label: str, digits: int = 3) -> DataFrame:
     """One IF/THEN line per label."""
-    part = F.format_string("%s is N(%.3f, %.3f)", "feature", "mu", "sigma")
+    part = F.format_string(f"%s is N(%.{digits}f, %.{digits}f)", "feature", "mu", "sigma")
     own = mf.groupBy(label).agg(F.sort_array(F.collect_list(part)).alias("parts"))  # one row a membership
     return own.select(label, F.concat(F.lit("IF "), F.array_join("parts", " AND "), F.lit(" THEN "), F.col(label)).alias("rule"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,35 @@ def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """Shift and size of each column: a scaled value is (x - shift) / size * span + low."""
+
+    shift: dict[str, float]
+    size: dict[str, float]
+    low: float = 0.0
+    span: float = 1.0
+
+    def transform(self, column: str) -> Column:
+        """A column without spread goes to the low end."""
+        x, size = F.col(column).cast("double"), self.size[column]
+        return (x - self.shift[column]) / size * self.span + self.low if size else F.when(x.isNotNull(), F.lit(self.low))
+
+    def inverse(self, scaled: Column, column: str) -> Column:
+        return (scaled - self.low) / self.span * self.size[column] + self.shift[column]
+
+
+def fit_min_max(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 1.0) -> Scaler:
+    got = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]).first()
+    ends = {c: (got[2 * i] or 0.0, got[2 * i + 1] or 0.0) for i, c in enumerate(columns)}
+    return Scaler({c: a for c, (a, _) in ends.items()}, {c: b - a for c, (a, b) in ends.items()}, low, high - low)
+
+
+def fit_z_score(df: DataFrame, columns: list[str]) -> Scaler:
+    got = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    return Scaler({c: got[2 * i] or 0.0 for i, c in enumerate(columns)}, {c: got[2 * i + 1] or 0.0 for i, c in enumerate(columns)})
+
+
 def memory_windows(df: DataFrame, value: str, by: str, order: list[str], window: int = 3, memory: int = 2) -> DataFrame:
     """time_step, short (mean of the last `window` rows) and long (mean of the `memory` rows before)."""
     own = Window.partitionBy(by).orderBy(*order)

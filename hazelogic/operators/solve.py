@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazelogic.operators import fit
 from hazelogic.operators.infer import basis
 from hazelogic.operators.interactions import moments
 
@@ -32,7 +33,7 @@ def solve_gram(g: np.ndarray, l2: float = 0.0) -> np.ndarray:
 def rbf_centres(df: DataFrame, features: list[str], n: int = 5) -> list[list[float]]:
     """A star: the medians, then one feature at a time at quantiles from .1 to .9."""
     shares = [0.5, *[0.1 + 0.8 * k / (n - 1) for k in range(n)]] if n > 1 else [0.5]
-    got = df.agg(*[F.percentile(F.col(f).cast("double"), F.array(*map(F.lit, shares))).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    got = [fit.quantiles(df, f, shares) or None for f in features]
     mid = [q[0] if q else 0.0 for q in got]
     out = [mid]
     for i, q in enumerate(got):

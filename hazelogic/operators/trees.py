@@ -141,8 +141,44 @@ def _variance_gain(s: np.ndarray) -> float:
     return 0.0 if parent <= 1e-12 or total <= 1e-12 else (parent - sum(r[0] / total * var(r) for r in s[1:])) / parent
 
 
+def separation(sums: np.ndarray, lo: float, hi: float) -> float:
+    """How apart classes lie by weighted sums of 1, x and x² (rows) for each class (columns).
+
+    For each pair of classes normal densities on 100 points of [lo, hi] are
+    compared by 1 - their Bhattacharyya coefficient, by Jensen-Shannon distance
+    and by 1 - overlap; the pair's score is the middle of the arithmetic and
+    the geometric mean of the three.
+    """
+    mass = sums[0]
+    if hi - lo <= 1e-12:
+        return 0.0
+    grid, shares = np.linspace(lo, hi, 100), []
+    for m, s, q in sums.T:
+        if m <= 1e-12:
+            shares.append(None)
+            continue
+        mu = s / m
+        sigma = max(np.sqrt(max(q / m - mu * mu, 0.0)), 1e-6)
+        p = np.exp(-0.5 * ((grid - mu) / sigma) ** 2) / sigma
+        shares.append(p / p.sum() if p.sum() > 1e-12 else None)
+    total = 0.0
+    for a in range(len(mass)):
+        for b in range(a + 1, len(mass)):
+            p, q = shares[a], shares[b]
+            if p is None or q is None:
+                continue
+            mid = np.maximum((p + q) / 2, 1e-300)
+            kl = lambda u, mid=mid: float((u * np.log(np.maximum(u, 1e-300) / mid)).sum())
+            three = np.maximum([1 - np.sqrt(p * q).sum(), np.sqrt(max((kl(p) + kl(q)) / 2, 0.0)), 1 - np.minimum(p, q).sum()], 0.0)
+            total += (three.mean() + three.prod() ** (1 / 3)) / 2
+    return float(total)
+
+
 def grow(df: DataFrame, features: list[str], target: str, criterion: str = "variance", max_depth: int = 3, n_terms: int = 3, min_mass: float = 5.0, min_gain: float = 1e-3, max_leaves: int = 64, plan: dict[tuple[int, ...], str] | None = None) -> Node:
-    """A soft tree. `criterion`: variance (numeric target), ambiguity or information (classes).
+    """A soft tree. `criterion`: variance (numeric target), ambiguity, information or differentiation (classes).
+
+    Differentiation ranks features by how apart the classes lie on them in the
+    node's rows (see `separation`), whatever the terms.
 
     `plan` pins the feature of a path. Rows with a null or NaN in a feature or
     the target are left out. Leaves are granted in level order; a feature is
@@ -192,14 +228,15 @@ def grow(df: DataFrame, features: list[str], target: str, criterion: str = "vari
         if not cuts:
             break
         keys = list(cuts)
-        size = (len(keys), n_terms + 1, n_s)
+        apart = criterion == "differentiation"
+        size = (len(keys), 3 if apart else n_terms + 1, n_s)
 
         def scored(b, nodes=level, keys=keys, cuts=cuts, size=size):
             x, y = _rows(b, n_f), b.column(n_f).to_numpy(zero_copy_only=False)
             w, out = _weights(x, features, nodes), np.zeros(size)
             per = np.eye(n_s)[y.astype(int)] if classes else np.stack([np.ones_like(y), y, y * y], axis=1)
             for i, (j, f) in enumerate(keys):
-                t = np.column_stack([np.ones(len(y)), _soft(x[:, f], cuts[j, f])]) * w[:, j : j + 1]
+                t = np.column_stack([np.ones(len(y)), x[:, f], x[:, f] ** 2] if apart else [np.ones(len(y)), _soft(x[:, f], cuts[j, f])]) * w[:, j : j + 1]
                 out[i] += t.T @ per
             return out.ravel()
 
@@ -207,7 +244,7 @@ def grow(df: DataFrame, features: list[str], target: str, criterion: str = "vari
         measure = nonspecificity if criterion == "ambiguity" else _entropy
         after: list[Node] = []
         for j, node in enumerate(level):
-            gains = [(class_gain(s[0], s[1:], measure) if classes else _variance_gain(s), -f, f) for (jj, f), s in zip(keys, sums, strict=True) if jj == j]
+            gains = [(separation(s, lo[f], lo[f] + span[f]) if apart else class_gain(s[0], s[1:], measure) if classes else _variance_gain(s), -f, f) for (jj, f), s in zip(keys, sums, strict=True) if jj == j]
             if not gains:
                 continue
             gain, _, f = max(gains)

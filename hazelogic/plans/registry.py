@@ -178,20 +178,6 @@ def i17_one_class_surprisal(spark, d):
     return ev.select("event_id", r(infer.surprisal([mf.gaussian(F.col("value"), m, s)]), 5).alias("surprisal"))
 
 
-@query(f"SELECT count(*) FILTER (a <= q) AS inliers, count(*) FILTER (a > q) AS outliers, round(any_value(q), 5) AS edge FROM (SELECT 1 - exp(-0.5 * pow((value - m) / s, 2)) AS a, quantile_cont(1 - exp(-0.5 * pow((value - m) / s, 2)), 0.95) OVER () AS q FROM events, {_MU})")
-def i18_one_class_decision(spark, d):
-    ev = table(spark, d, "events", "event_id", "value")
-    m, s = ev.agg(F.avg("value"), F.stddev_pop("value")).first()
-    a = ev.select((1 - mf.gaussian(F.col("value"), m, s)).alias("a"))
-    edge = a.agg(F.percentile("a", F.lit(0.95))).first()[0]
-    return a.agg(F.count(F.when(F.col("a") <= edge, 1)).alias("inliers"), F.count(F.when(F.col("a") > edge, 1)).alias("outliers"), r(F.lit(edge), 5).alias("edge"))
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity <= 10 THEN 1 WHEN l_discount <= 0.05 THEN 2 ELSE 3 END AS leaf FROM lineitem")
-def i27_tree_route(spark, d):
-    return lines(spark, d, "l_quantity", "l_discount").select(*KEY, F.when(F.col("l_quantity") <= 10, 1).when(F.col("l_discount") <= 0.05, 2).otherwise(3).alias("leaf"))
-
-
 # ------------------------------------------------------------ membership functions
 
 
@@ -326,18 +312,6 @@ def s2_jensen_shannon(spark, d):
 _SCORE = f"SELECT a.feature, sum(abs(a.mu - b.mu) / sqrt((a.sigma * a.sigma + b.sigma * b.sigma) / 2)) AS score FROM ({_FITS}) a JOIN ({_FITS}) b ON a.feature = b.feature AND a.label < b.label GROUP BY a.feature"
 
 
-@query(f"SELECT feature, round(score / max(score) OVER (), 6) AS score, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM ({_SCORE})")
-def s4_s5_feature_ranking(spark, d):
-    f = fit.normal_fit(lines(spark, d, *FEATURES, "l_returnflag"), FEATURES, "l_returnflag")
-    return features.rank_features(features.label_separation(f, "l_returnflag")).select("feature", r(F.col("score")).alias("score"), "rank")
-
-
-@query(f"SELECT feature FROM ({_SCORE}) ORDER BY score DESC, feature LIMIT 2")
-def s6_top_features(spark, d):
-    f = fit.normal_fit(lines(spark, d, *FEATURES, "l_returnflag"), FEATURES, "l_returnflag")
-    return features.rank_features(features.label_separation(f, "l_returnflag"), top=2).select("feature")
-
-
 @query("SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS code FROM customer")
 def s9_encode(spark, d):
     return features.encode(table(spark, d, "customer", "c_custkey", "c_mktsegment"), "c_mktsegment", "code").select("c_custkey", "code")
@@ -421,12 +395,6 @@ def b9_term_tuples(spark, d):
     return got.select(F.col("l_returnflag").alias("label"), "t_q", "t_d", "n")
 
 
-@query()
-def b13_rule_text(spark, d):
-    f = fit.normal_fit(lines(spark, d, *FEATURES, "l_returnflag"), FEATURES, "l_returnflag")
-    return rules.rule_text(f, "l_returnflag")
-
-
 _SOFT = "SELECT y, unnest([CASE WHEN q <= 10 THEN 1 ELSE greatest(0, (40 - q) / 30) END, CASE WHEN q <= 40 THEN greatest(0, (q - 10) / 30) ELSE 1 END]) AS w, unnest([1, 2]) AS term FROM (SELECT l_quantity AS q, l_extendedprice / 1000 AS y FROM lineitem)"
 
 
