@@ -219,3 +219,20 @@ def test_differentiation_tree_splits_on_what_tells_classes_apart(spark):
     one = np.array([[10.0, 10.0], [0.0, 40.0], [10.0, 170.0]])
     assert trees.separation(one, 0.0, 5.0) > trees.separation(np.array([[10.0, 10.0], [0.0, 1.0], [10.0, 10.1]]), 0.0, 5.0) >= 0
     assert trees.separation(one, 1.0, 1.0) == 0.0
+
+
+@pytest.mark.parametrize("family", ["min_max", "probability", "luk", "hamacher", "einstein"])
+def test_kernel_gives_what_columns_give(spark, family):
+    from hazelogic.operators import kernel
+
+    rng = np.random.default_rng(11)
+    m = infer.Model({(f"f{i}", x): [(rng.normal(), rng.uniform(0.5, 2)) for _ in range(1 + (i + ord(x)) % 3)] for i in range(4) for x in "abc"})
+    df = frame(spark, {"id": np.arange(50)} | {f"f{i}": rng.normal(0, 2, 50) for i in range(4)})
+    got = kernel.score(df, m, ["id"], t_norm=family).join(df.select("id", infer.firing(m, family).alias("s"), infer.classify(infer.firing(m, family), m.labels).alias("c")), "id").collect()
+    assert all(np.allclose(r.strengths, r.s, atol=1e-12) for r in got)
+    label = {r.id: r.label for r in kernel.score(df, m, ["id"], "label", family).collect()}
+    assert all(label[r.id] == r.c for r in got if max(r.s) > 0)
+    odd = spark.createDataFrame([(1, None, 1.0, 1.0, 1.0), (2, 0.0, 0.0, 0.0, 0.0)], "id long, f0 double, f1 double, f2 double, f3 double")
+    assert [r.strengths is None for r in kernel.score(odd, m, ["id"], t_norm=family).orderBy("id").collect()] == [True, False]
+    assert kernel.score(odd.limit(0), m, ["id"]).count() == 0
+    assert kernel.strengths(df, m, ["id"]).count() == 50
