@@ -152,7 +152,9 @@ class TreeClassifier:
 
     def fit(self, df: DataFrame) -> TreeClassifier:
         rows = df.where(F.col(self.target).isNotNull())
-        self.labels_ = sorted(r[0] for r in rows.select(self.target).distinct().limit(infer.MAX_MODEL).collect())
+        self.labels_ = sorted(r[0] for r in rows.select(self.target).distinct().limit(infer.MAX_MODEL + 1).collect())
+        if len(self.labels_) > infer.MAX_MODEL:
+            raise ValueError(f"a tree takes at most {infer.MAX_MODEL} labels")
         self.tree_ = trees.grow(rows, self.features, self.target, self.criterion, **self.options)
         self.shares_ = trees.leaf_classes(rows, self.tree_, self.target, self.labels_)
         return self

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hazelogic.operators import fit, infer, refine, rulebase, trees, tsk
 from hazelogic.operators.infer import Model
+from hazelogic.operators.partial import PLACES, at_places, sum_places
 
 #: A leaf's expert learns from rows whose share in the leaf is at least this.
 LEAST_SHARE = 0.2
@@ -60,12 +61,9 @@ class TreeExperts:
                     w = np.where((r >= LEAST_SHARE) | (r == r.max(axis=1, keepdims=True)), r, 0.0)
                     total[:, :-1] += np.einsum("nk,ni,nj->kij", w, v, v).reshape(n, -1)
                     total[:, -1] += (w > 0).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+            yield at_places(total)
 
-        got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros(n * ((p + 1) ** 2 + 1))
-        flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
-        flat = flat.reshape(n, -1)
+        flat = sum_places(rows.mapInArrow(run, PLACES), n * ((p + 1) ** 2 + 1)).reshape(n, -1)
         all_mass, all_y = flat[:, 0].sum(), flat[:, p].sum()
         self.beta = np.zeros((n, p))
         for k in range(n):

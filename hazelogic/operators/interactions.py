@@ -42,12 +42,12 @@ def label_wasserstein(df: DataFrame, features: list[str], label: str) -> DataFra
     counts = fit.melt(df, features, label).groupBy("feature", "value").agg(*[F.count(F.when(F.col(label) == x, 1)).alias(f"n{i}") for i, x in enumerate(names)])
     ends = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     block = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256)).otherwise(0)
-    cells = counts.join(F.broadcast(ends), "feature").withColumn("block", block)  # one row a feature
+    cells = counts.join(ends, "feature").withColumn("block", block)  # one row a feature
     own, ns = Window.partitionBy("feature", "block").orderBy("value"), [f"n{i}" for i in range(len(names))]
     blocks = cells.groupBy("feature", "block").agg(F.min("value").alias("first"), *[F.sum(n).alias(n) for n in ns])
     before = Window.partitionBy("feature").orderBy("block")  # at most 257 rows a feature
     base = blocks.select("feature", "block", F.lead("first").over(before).alias("ahead"), *[(F.sum(n).over(before) - F.col(n)).alias(f"b_{n}") for n in ns], *[F.sum(n).over(Window.partitionBy("feature")).alias(f"t_{n}") for n in ns])
-    run = cells.select("feature", "block", "value", F.lead("value").over(own).alias("next"), *[F.sum(n).over(own).alias(n) for n in ns]).join(F.broadcast(base), ["feature", "block"])
+    run = cells.select("feature", "block", "value", F.lead("value").over(own).alias("next"), *[F.sum(n).over(own).alias(n) for n in ns]).join(base, ["feature", "block"])
     cdf = {n: (F.col(n) + F.col(f"b_{n}")) / F.nullif(F.col(f"t_{n}"), F.lit(0)) for n in ns}
     dx = F.coalesce("next", "ahead") - F.col("value")
     pairs = [F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), (F.abs(cdf[f"n{i}"] - cdf[f"n{j}"]) * dx).alias("d")) for i, j in itertools.combinations(range(len(names)), 2)]
@@ -64,7 +64,7 @@ def pair_distances(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """
     fits = fit.normal_fit(df, features, label)
     ends = fit.melt(df, features).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    shares = fits.join(F.broadcast(ends), "feature").select("feature", label, "sigma", grid_shares(F.col("mu"), F.col("sigma"), F.col("lo"), F.col("hi")).alias("p"))
+    shares = fits.join(ends, "feature").select("feature", label, "sigma", grid_shares(F.col("mu"), F.col("sigma"), F.col("lo"), F.col("hi")).alias("p"))
     a = shares.select("feature", F.col(label).alias("a"), F.col("p").alias("pa"), F.col("sigma").alias("sa"))
     b = shares.select("feature", F.col(label).alias("b"), F.col("p").alias("pb"), F.col("sigma").alias("sb"))
     pairs = a.join(b, "feature").where("a < b").join(label_wasserstein(df, features, label), ["feature", "a", "b"])
@@ -128,12 +128,13 @@ def moments(df: DataFrame, columns: list[Column], target: Column, fold: Column |
                 for k in np.unique(f):
                     x = v[f == k]
                     total[int(k)] = total.get(int(k), 0) + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([list(t.ravel()) for t in total.values()], pa.list_(pa.float64()))], names=["f", "g"])
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(p * p, k), pa.int32()), pa.array(np.arange(p * p)), pa.array(t.ravel())], names=["f", "i", "v"])
 
     out: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(run, "f int, g array<double>").collect():  # folds x tasks matrices
-        out[r.f] = out.get(r.f, np.zeros((p, p))) + np.array(r.g).reshape(p, p)
-    return out
+    for r in rows.mapInArrow(run, "f int, i long, v double").groupBy("f", "i").agg(F.sum("v").alias("v")).collect():  # a number a fold and place
+        out.setdefault(r.f, np.zeros(p * p))[r.i] = r.v
+    return {k: v.reshape(p, p) for k, v in out.items()}
 
 
 def lasso_path(gram: np.ndarray, alphas: np.ndarray, sweeps: int = 1000, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

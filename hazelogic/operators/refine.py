@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hazelogic.functions import membership
 from hazelogic.operators.infer import ZERO_FIRING, Model
+from hazelogic.operators.partial import at_places, sum_places
 
 LEAST_PROBABILITY = 1e-12
 LEAST_DECREASE = 1e-12
@@ -40,23 +41,12 @@ def mean_loss(df: DataFrame, features: list[str], target: str, loss: Loss, candi
                 x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                 n += len(x)
                 total += [float(loss(x[:, :-1], x[:, -1], c).sum()) for c in candidates]
-        yield _at_places(np.append(total, n))
+        yield at_places(np.append(total, n))
 
-    sums = _sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) + 1)
+    sums = sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) + 1)
     return sums[:-1] / max(sums[-1], 1)
 
 
-def _at_places(v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(v.size)), pa.array(v.ravel().astype(float))], names=["i", "v"])
-
-
-def _sum_places(parts: DataFrame, size: int) -> np.ndarray:
-    """Tasks' vectors summed by place, so the driver gets one however many tasks there are."""
-    got, out = parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow(), np.zeros(size)
-    out[got.column("i").to_numpy()] = got.column("v").to_numpy()
-    return out
-
-
 # ------------------------------------------------------------ models as vectors
 
 
@@ -396,9 +386,9 @@ def refine_regressor(df: DataFrame, regressor, folds: int = 3, fold: Column | No
                     for k in range(folds):
                         part = d[at == k]
                         total[c, k] += part.T @ part
-            yield _at_places(total.ravel())
+            yield at_places(total.ravel())
 
-        return _sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) * folds * size * size).reshape(len(candidates), folds, size, size)
+        return sum_places(rows.mapInArrow(run, "i long, v double"), len(candidates) * folds * size * size).reshape(len(candidates), folds, size, size)
 
     count = max(rows.count(), 1)
 
@@ -559,9 +549,9 @@ def em_experts(df: DataFrame, features: list[str], target: str, start: list[floa
                 total = top + np.log(np.exp(w - top).sum(axis=1, keepdims=True))
                 ll += float(total.sum())
                 gram += np.einsum("nk,ni,nj->kij", np.exp(w - total), v, v)
-            yield _at_places(np.append(gram.ravel(), ll))
+            yield at_places(np.append(gram.ravel(), ll))
 
-        sums = _sum_places(rows.mapInArrow(run, "i long, v double"), k * (p + 1) ** 2 + 1)
+        sums = sum_places(rows.mapInArrow(run, "i long, v double"), k * (p + 1) ** 2 + 1)
         gram, ll = sums[:-1].reshape(k, p + 1, p + 1), float(sums[-1])
         if ll > best_ll:
             best, best_ll = state, ll

@@ -172,7 +172,7 @@ def oversample(df: DataFrame, label: str, features: list[str], fits: DataFrame,
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / BLOCK)))
     need = need.select(label, "k", block.alias("b")).repartition(F.col(label), F.col("b"))
     wide = fits.groupBy(label).agg(*[F.max(F.when(F.col("feature") == f, F.struct("mu", "sigma"))).alias(f"g_{f}") for f in features])
-    rows = need.join(F.broadcast(wide), label).select("*", F.explode(F.sequence(F.col("b") * BLOCK + 1, F.least((F.col("b") + 1) * BLOCK, F.col("k")))).alias("i"))
+    rows = need.join(wide, label).select("*", F.explode(F.sequence(F.col("b") * BLOCK + 1, F.least((F.col("b") + 1) * BLOCK, F.col("k")))).alias("i"))
 
     def draw(f: str) -> Column:
         u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(f), F.lit(j), F.col(label), F.col("i")), F.lit(2**52)) + 1) / float(2**52 + 1) for j in (0, 1)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hazelogic.operators import fit
 from hazelogic.operators.infer import basis
 from hazelogic.operators.interactions import moments
+from hazelogic.operators.partial import PLACES, at_places, sum_places
 
 
 def bucket_corrections(df: DataFrame, features: list[str], target: str, bucket: str, order: int = 1, l2: float = 0.0) -> dict[int, np.ndarray]:
@@ -106,9 +107,9 @@ class Anfis:
                 if b.num_rows:
                     z = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                     total += stats(z[:, :-1], z[:, -1])
-            yield pa.RecordBatch.from_arrays([pa.array([list(total)], pa.list_(pa.float64()))], names=["t"])
+            yield at_places(total)
 
-        return sum((np.array(r.t) for r in rows.mapInArrow(run, "t array<double>").collect()), np.zeros(size))  # one row a task
+        return sum_places(rows.mapInArrow(run, PLACES), size)
 
     def fit(self, df: DataFrame) -> Anfis:
         rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*self.features, self.target])])

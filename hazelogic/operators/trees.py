@@ -319,24 +319,12 @@ def predict_proba(tree: Node, shares: list[list[float]]) -> Column:
 
 def leaf_consequents(df: DataFrame, tree: Node, features: list[str], target: str, l2: float = 1e-6) -> np.ndarray:
     """Leaves x (1 + features) coefficients: ridge on normalised leaf firing times [1, features], intercepts free."""
-    n, p = len(tree.leaves()), len(features) + 1
-    rows = df.select(normalised(leaf_firing(tree)).alias("w"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y")).where("y is not null")
+    from hazelogic.operators import tsk
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, n * p + 1))
-        for b in batches:
-            if b.num_rows:
-                w, x = (np.stack(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
-                a = (w[:, :, None] * x[:, None, :]).reshape(len(w), n * p)
-                r = np.linalg.qr(np.vstack([r, np.column_stack([a, b.column(2).to_numpy(zero_copy_only=False)])]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], names=["r"])
-
-    parts = [x.r for x in rows.mapInArrow(run, "r array<double>").collect()]  # one triangle a task
-    stacked = np.array(parts) if parts else np.zeros((0, n * p + 1))
-    penalty = np.full(n * p, math.sqrt(l2))
-    penalty[::p] = 0.0
-    a = np.vstack([stacked[:, :-1], np.diag(penalty)])
-    return np.linalg.lstsq(a, np.append(stacked[:, -1], np.zeros(n * p)), rcond=None)[0].reshape(n, p)
+    n, w = len(tree.leaves()), normalised(leaf_firing(tree))
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    xx, xy, _ = tsk.gram(df, F.flatten(F.transform(w, lambda v: F.transform(x, lambda t: v * t))), F.col(target))
+    return np.column_stack(tsk.solve(xx, xy, n, l2))
 
 
 def describe(node: Node, values: list[float] | None = None) -> str:

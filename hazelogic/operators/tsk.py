@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from hazelogic.operators import features as scoring
 from hazelogic.operators import fit, infer
 from hazelogic.operators.infer import Model
+from hazelogic.operators.partial import at_places
 
 
 def design(strengths: Column, terms: list[Column]) -> Column:
@@ -59,7 +60,7 @@ def gram(df: DataFrame, x: Column, y: Column, weight: Column | None = None) -> t
                 v = np.column_stack([np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1), b.column(1).to_numpy()])
                 total = total + (v * b.column(2).to_numpy()[:, None]).T @ v
         if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+            yield at_places(total)
 
     got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     if not got.num_rows:
