@@ -62,9 +62,12 @@ def gt2_rule_firing(model: Type2, planes: int = 5, t_norm: str = "probability")
 def gt2_firing(model: Type2, planes: int = 5, t_norm: str = "probability") -> Column:
     """Crisp strengths in label order: the planes' type-reduced ones, weighted by alpha."""
     levels = infer.alpha_levels(planes)
-    crisp = F.array(*[it2_firing(model.plane(a), t_norm)[2] for a in levels])
-    weigh = lambda i: F.aggregate(F.zip_with(crisp, F.array(*map(F.lit, levels)), lambda s, a: F.get(s, F.lit(i)) * a), F.lit(0.0), lambda x, y: x + y) / sum(levels)
-    return F.array(*[weigh(i) for i in range(len(model.labels))])
+    scaled = lambda c, a: F.transform(c, lambda x: x * a)
+    parts = [scaled(it2_firing(model.plane(a), t_norm)[2], a / sum(levels)) for a in levels]
+    total = parts[0]
+    for p in parts[1:]:  # every plane is worked out once
+        total = F.zip_with(total, p, lambda x, y: x + y)
+    return total
 
 
 def intervals(df: DataFrame, key: list[str], values: list[Column], firing: list[tuple[float, Column, Column]]) -> DataFrame:
