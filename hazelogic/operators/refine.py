@@ -517,10 +517,11 @@ def accept(guard: str, n: int, only_before: int, only_after: int, ce_before: flo
 # ------------------------------------------------------------ EM of experts
 
 
-def em_experts(df: DataFrame, features: list[str], target: str, start: list[float], rounds: int = 15, tol: float = 1e-4, min_mass: float = 1.0, l2: float = 1e-6) -> dict[str, np.ndarray]:
-    """Linear experts behind Gaussian gates on the first feature, by EM; a round is one pass.
+def em_experts(df: DataFrame, features: list[str], target: str, start: list[float] | list[list[float]], rounds: int = 15, tol: float = 1e-4, min_mass: float = 1.0, l2: float = 1e-6) -> dict[str, np.ndarray]:
+    """Linear experts behind Gaussian gates, by EM; a round is one pass.
 
-    `start` gives the first gate means. The E-step works on logs; a task sends
+    `start` gives each expert's first gate mean, a number for gates on the
+    first feature or a list for gates on as many of the first features. The E-step works on logs; a task sends
     back for each expert the weighted Gram matrix of [1, features, target]. An
     expert of less than `min_mass` rows keeps its parameters, and the round of
     the best likelihood is returned: gate_mu, gate_sigma, share, beta, noise, log_likelihood.
@@ -528,10 +529,12 @@ def em_experts(df: DataFrame, features: list[str], target: str, start: list[floa
     cols = [*features, target]
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     rows = rows.where(~F.exists(F.array(*rows.columns), lambda v: v.isNull() | F.isnan(v)))
-    first = rows.agg(F.stddev_pop("c0"), F.avg(f"c{len(features)}"), F.stddev_pop(f"c{len(features)}")).first()
-    k, p = len(start), len(features) + 1
-    sd, mean_y, sd_y = (first[0] or 1.0), (first[1] or 0.0), (first[2] or 1.0)
-    state = {"gate_mu": np.array(start, float), "gate_sigma": np.full(k, sd / k), "share": np.full(k, 1.0 / k), "beta": np.tile(np.append(mean_y, np.zeros(p - 1)), (k, 1)), "noise": np.full(k, sd_y)}
+    flat = np.ndim(start[0]) == 0
+    begin = np.array(start, float).reshape(len(start), -1)
+    first = rows.agg(F.avg(f"c{len(features)}"), F.stddev_pop(f"c{len(features)}"), *[F.stddev_pop(f"c{i}") for i in range(begin.shape[1])]).first()
+    (k, gates), p = begin.shape, len(features) + 1
+    mean_y, sd_y, sd = (first[0] or 0.0), (first[1] or 1.0), np.array([v or 1.0 for v in first[2:]])
+    state = {"gate_mu": begin, "gate_sigma": np.tile(sd / k, (k, 1)), "share": np.full(k, 1.0 / k), "beta": np.tile(np.append(mean_y, np.zeros(p - 1)), (k, 1)), "noise": np.full(k, sd_y)}
 
     best, best_ll, last = state, -np.inf, -np.inf
     for _ in range(rounds + 1):
@@ -544,7 +547,7 @@ def em_experts(df: DataFrame, features: list[str], target: str, start: list[floa
                 z = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                 v = np.column_stack([np.ones(len(z)), z])
                 logn = lambda x, m, d: -0.5 * ((x - m) / d) ** 2 - np.log(d) - 0.5 * math.log(2 * math.pi)
-                w = np.log(s["share"]) + logn(z[:, :1], s["gate_mu"], s["gate_sigma"]) + logn(z[:, -1:], v[:, :-1] @ s["beta"].T, s["noise"])
+                w = np.log(s["share"]) + logn(z[:, None, :gates], s["gate_mu"], s["gate_sigma"]).sum(axis=2) + logn(z[:, -1:], v[:, :-1] @ s["beta"].T, s["noise"])
                 top = w.max(axis=1, keepdims=True)
                 total = top + np.log(np.exp(w - top).sum(axis=1, keepdims=True))
                 ll += float(total.sum())
@@ -566,8 +569,11 @@ def em_experts(df: DataFrame, features: list[str], target: str, start: list[floa
             b = np.linalg.lstsq(g[:p, :p] + penalty, g[:p, p], rcond=None)[0]
             e = np.append(-b, 1.0)
             new["beta"][i], new["noise"][i] = b, max(math.sqrt(max(e @ g @ e, 0.0) / mass[i]), 1e-3 * sd_y)
-            mu = g[0, 1] / mass[i]
-            new["gate_mu"][i], new["gate_sigma"][i] = mu, max(math.sqrt(max(g[1, 1] / mass[i] - mu * mu, 0.0)), 1e-3 * sd)
+            own = np.arange(1, gates + 1)
+            mu = g[0, own] / mass[i]
+            new["gate_mu"][i], new["gate_sigma"][i] = mu, np.maximum(np.sqrt(np.maximum(g[own, own] / mass[i] - mu * mu, 0.0)), 1e-3 * sd)
         new["share"] = np.maximum(mass, 1e-12) / max(mass.sum(), 1e-12)
         state = new
+    if flat:
+        best = best | {n: best[n][:, 0] for n in ("gate_mu", "gate_sigma")}
     return best | {"log_likelihood": np.array(best_ll)}

@@ -236,3 +236,15 @@ def test_kernel_gives_what_columns_give(spark, family):
     assert [r.strengths is None for r in kernel.score(odd, m, ["id"], t_norm=family).orderBy("id").collect()] == [True, False]
     assert kernel.score(odd.limit(0), m, ["id"]).count() == 0
     assert kernel.strengths(df, m, ["id"]).count() == 50
+
+
+def test_em_experts_with_gates_on_two_features(spark):
+    """Four pieces told apart by two features: gates on both find their experts."""
+    rng = np.random.default_rng(12)
+    a, b = rng.choice([0.0, 10.0], 600) + rng.normal(0, 1, 600), rng.choice([0.0, 10.0], 600) + rng.normal(0, 1, 600)
+    y = np.where(a < 5, 1, -1) * a + np.where(b < 5, 2, -2) * b + rng.normal(0, 0.1, 600)
+    df = frame(spark, {"a": a, "b": b, "y": y})
+    two = refine.em_experts(df, ["a", "b"], "y", [[0, 0], [0, 10], [10, 0], [10, 10]])
+    one = refine.em_experts(df, ["a", "b"], "y", [0.0, 3.0, 7.0, 10.0])
+    assert two["gate_mu"].shape == (4, 2) and one["gate_mu"].shape == (4,)
+    assert np.allclose(np.sort(two["beta"][:, 1:], axis=0), [[-1, -2], [-1, -2], [1, 2], [1, 2]], atol=0.1)
