@@ -59,10 +59,16 @@ def s7_interaction_lift(spark, d):
     return got.withColumn("lift", r(F.col("lift"), 5))
 
 
-@query()
+_FEATURE_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+_LONG10 = f"SELECT l_returnflag AS label, unnest([{', '.join(repr(x) for x in [*FEATURES, *[f'{a}*{b}' for a, b in _FEATURE_PAIRS]])}]) AS feature, unnest([{', '.join([*FEATURES, *[f'{a} * {b}' for a, b in _FEATURE_PAIRS]])}]) AS value FROM lineitem"
+
+
+@query(f"""WITH s AS (SELECT feature, sum(d / pooled) AS s FROM ({_wasserstein_sql(_LONG10)}) GROUP BY feature),
+l AS (SELECT a.feature AS fa, b.feature AS fb, p.s - greatest(a.s, b.s) AS lift FROM s p JOIN s a ON a.feature = split_part(p.feature, '*', 1) JOIN s b ON b.feature = split_part(p.feature, '*', 2) WHERE p.feature LIKE '%*%')
+SELECT fa AS feature_a, fb AS feature_b, round(lift / max(lift) OVER (), 5) AS lift FROM l WHERE lift > 0 ORDER BY lift DESC, fa, fb LIMIT 3""")
 def s8_top_interactions(spark, d):
-    got = interactions.interaction_lift(lines(spark, d, *FEATURES, "l_returnflag"), FEATURES, "l_returnflag", "composite")
-    return interactions.top_interactions(got, 3)
+    got = interactions.interaction_lift(lines(spark, d, *FEATURES, "l_returnflag"), FEATURES, "l_returnflag", "wasserstein")
+    return interactions.top_interactions(got, 3).withColumn("lift", r(F.col("lift"), 5))
 
 
 @query()
@@ -275,13 +281,6 @@ def _moments(cols):
     return [r(f, 5).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("mean", F.abs(F.avg(c))), ("var", F.var_samp(c)))]
 
 
-@query()
-def p6_shrunk_whitening(spark, d):
-    df, cols = table(spark, d, "lineitem", "l_quantity", "l_tax"), ["l_quantity", "l_tax"]
-    mean, matrix, _ = scaling.shrunk_whitening(df, cols)
-    return df.agg(*_moments(scaling.whitened(cols, mean, matrix)))
-
-
 @query("""WITH t AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
 a AS (SELECT user_id, max(value) FILTER (k = 1) AS x, avg(value) FILTER (k <= 3) AS s, avg(value) FILTER (k IN (1, 2)) AS s2 , sum(value) FILTER (k <= 2) AS two, count(*) AS n FROM t GROUP BY 1),
 b AS (SELECT *, x + 0.5 * (s - x) AS y FROM a)

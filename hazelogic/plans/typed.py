@@ -250,6 +250,20 @@ def p5_pca_whitening(spark, d):
     return df.select(*KEY, r(a * a + b * b, 5).alias("d2"))
 
 
+@query(f"""WITH c AS (SELECT *, l_quantity - mx AS x, (l_tax - my) * 100 AS y FROM lineitem, (SELECT avg(l_quantity) AS mx, avg(l_tax) AS my FROM lineitem)),
+s AS (SELECT count(*) AS n, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy, avg(pow(x * x + y * y, 2)) AS four FROM c),
+m AS (SELECT *, (xx + yy) / 2 AS mu, (pow(xx - yy, 2) / 2 + 2 * xy * xy) / 2 AS d2, (four - (xx * xx + yy * yy + 2 * xy * xy)) / n / 2 AS b2 FROM s),
+k AS (SELECT *, least(b2, d2) / d2 AS share FROM m),
+f AS (SELECT (1 - share) * xx + share * mu AS a, (1 - share) * xy AS b, (1 - share) * yy + share * mu AS e, share FROM k)
+SELECT {_K}, round((e * x * x - 2 * b * x * y + a * y * y) / (a * e - b * b), 4) AS d2 FROM c, f""")
+def p6_shrunk_whitening(spark, d):
+    """Squared lengths of rows whitened by the Ledoit-Wolf covariance."""
+    df = lines(spark, d, "l_quantity", "l_tax").withColumn("t", F.col("l_tax") * 100)
+    mean, matrix, _ = scaling.shrunk_whitening(df, ["l_quantity", "t"])
+    a, b = scaling.whitened(["l_quantity", "t"], mean, matrix)
+    return df.select(*KEY, r(a * a + b * b, 4).alias("d2"))
+
+
 # ------------------------------------------------------------ rules and trees
 
 
@@ -284,7 +298,12 @@ def b3_last_match(spark, d):
     return spark.createDataFrame(out, "feature string, label string, first_match string")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT l_returnflag AS label, CASE WHEN l_quantity <= 17.5 THEN 1 WHEN l_quantity <= 32.5 THEN 2 ELSE 3 END AS q, CASE WHEN l_discount <= 0.055 THEN 1 ELSE 2 END AS d, count(*) AS n FROM lineitem GROUP BY ALL),
+t AS (SELECT label, q, d FROM (SELECT *, sum(n) OVER (PARTITION BY label) AS total FROM c) WHERE n >= ceil(total * 0.05)),
+e AS (SELECT x.label, x.q AS q1, x.d AS d1, y.q AS q2, y.d AS d2 FROM t x JOIN t y ON x.label = y.label AND abs(x.q - y.q) <= 1 AND abs(x.d - y.d) <= 1),
+reach AS (SELECT * FROM e UNION SELECT r.label, r.q1, r.d1, e.q2, e.d2 FROM reach r JOIN e ON e.label = r.label AND e.q1 = r.q2 AND e.d1 = r.d2),
+m AS (SELECT label, q1, d1, min(q2 * 100 + d2) AS least FROM reach GROUP BY ALL)
+SELECT label, (dense_rank() OVER (PARTITION BY label ORDER BY least) - 1)::INT AS cluster, '(' || q1 || ', ' || d1 || ')' AS term_tuple FROM m""")
 def b9_joint_clusters(spark, d):
     terms = {"q": rules.ruspini_terms(F.col("l_quantity"), [10, 25, 40]), "d": rules.ruspini_terms(F.col("l_discount"), [0.01, 0.1])}
     got = rules.joint_clusters(rules.term_tuples(table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_discount"), "l_returnflag", terms, 0.05), "l_returnflag")
