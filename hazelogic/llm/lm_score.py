@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -45,7 +46,7 @@ HASHED, EDGE = 63, 0
 #: Words to either side, width of an embedding, hidden units.
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 #: Share of words masked in training, in per cent; rounds; words to a gradient; step size.
-MASK, ROUNDS, STEP, RATE = 15, 2, 512, 0.066
+MASK, ROUNDS, STEP, RATE = 15, 2, 1024, 0.066
 #: Words in a shard, about.
 SHARD_WORDS = 2_000_000
 #: Words in a run, on average; weight of the corpus' runs beside the network.
@@ -66,8 +67,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own.update(words(t))
+            texts = b.column(0).to_pylist()
+            for lo, hi in chunks(texts, 1_000_000):
+                own.update(words("\n".join(t for t in texts[lo:hi] if t)))  # no word reaches over a line's end
                 if len(own) > 500_000:
                     yield _counted(own)
                     own = Counter()
@@ -125,9 +127,9 @@ def spelling(counts: DataFrame) -> np.ndarray:
 
 
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """np.add.at(to, at, rows) over flat places, for which numpy has a fast loop."""
-    width = to.shape[1]
-    np.add.at(to.reshape(-1), (at[:, None].astype(np.intp) * width + np.arange(width)).ravel(), rows.ravel())
+    """np.add.at(to, at, rows) by counting with weights, which numpy does faster."""
+    flat = (at[:, None].astype(np.intp) * to.shape[1] + np.arange(to.shape[1])).ravel()
+    to += np.bincount(flat, rows.ravel(), to.size).reshape(to.shape)
 
 
 class Net:
@@ -212,23 +214,28 @@ class Net:
         _add_rows(emb, around.ravel(), dx)
 
 
+class _Numbers(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Classes and spellings of words; each distinct word is worked out once."""
 
     def __init__(self, net: Net):
-        self.net, self.memo = net, {}
-        self.cls, self.extra = np.zeros(0, np.uint16), np.zeros(0)
+        self.net, self.memo = net, _Numbers()
+        self.cls, self.extra = np.zeros(0, np.uint16), np.zeros(0, np.float16)
 
     def __call__(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = list(set(found).difference(self.memo))
-        if len(new) + len(self.memo) > MEMO:
-            self.memo, self.cls, self.extra = {}, self.cls[:0], self.extra[:0]
-            new = list(set(found))
-        if new:
-            cls, extra = self.net.classes(new)
-            self.memo.update(zip(new, range(len(self.cls), len(self.cls) + len(new)), strict=True))
-            self.cls, self.extra = np.concatenate([self.cls, cls]), np.concatenate([self.extra, extra])
+        if len(self.memo) > MEMO:
+            self.memo, self.cls, self.extra = _Numbers(), self.cls[:0], self.extra[:0]
         local = np.fromiter(map(self.memo.__getitem__, found), np.int32, len(found))
+        if len(self.memo) > len(self.cls):
+            cls, extra = self.net.classes(list(islice(self.memo, len(self.cls), None)))
+            self.cls, self.extra = np.concatenate([self.cls, cls]), np.concatenate([self.extra, extra.astype(np.float16)])
         return self.cls[local], self.extra[local]
 
 
@@ -246,7 +253,7 @@ def encode(docs: DataFrame, net: Net, id_col: str, text_col: str) -> DataFrame:
                 cls, own = coder([w for ws in found for w in ws])
                 ends, hashed = np.cumsum(size), cls <= HASHED
                 upto = np.r_[0, np.cumsum(hashed)]
-                own = own[hashed].astype(np.float16)
+                own = own[hashed]
                 n += size.tolist()
                 ids += [cls[e - k : e].tobytes() for e, k in zip(ends.tolist(), size.tolist(), strict=True)]
                 spelled += [own[x:y].tobytes() for x, y in zip(upto[ends - size].tolist(), upto[ends].tolist(), strict=True)]
