@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +60,92 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+#: Intermediate tables that a stage has written and nothing but its own result reads.
+_scratch: list[str] = []
+#: Tables written between collections of garbage, which lets Spark drop the shuffles and broadcasts of earlier steps.
+EACH = 5
+_written = 0
+
+
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives lost executors; unlike `checkpoint()` it
-    computes the plan one time only.
+    computes the plan one time only. The table goes when the driver ends, or,
+    unless it is to `keep`, with `release`.
     """
+    global _written
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    if not keep:
+        _scratch.append(path)
+    _written += 1
+    if _written % EACH == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far: what was made from them must have been written by now."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
+
+
+def filesystem(uri: str):
+    """A file system and a path in it, for file:, hdfs:, s3: and the like."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:", "", uri))
+
+
+#: Rows of a partition share the upper bits of `monotonically_increasing_id`.
+PART_BITS = 33
+
+
+def chosen(rows: DataFrame, keys: DataFrame, what: str) -> DataFrame:
+    """Those of `rows` whose `key`, a `monotonically_increasing_id`, is among the distinct `keys.key`.
+
+    The rows, which may hold long texts, are not shuffled: keys are written by
+    the partition that made them, and a task reads the lists of the partitions
+    its rows come from, each as long as that partition at most.
+    """
+    path = new_path(rows.sparkSession, what)
+    by_part = keys.select("key", F.call_function("shiftright", F.col("key"), F.lit(PART_BITS)).alias("part"))
+    by_part.repartition("part").write.partitionBy("part").parquet(path)
+    _scratch.append(path)
+    at = rows.columns.index("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(path)
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            key = b.column(at).to_numpy()
+            keep = np.zeros(len(key), bool)
+            for part in np.unique(key >> PART_BITS):
+                if part not in held:
+                    held.clear()
+                    held[part] = _keys(fs, f"{base}/part={part}")
+                own = key >> PART_BITS == part
+                keep[own] = np.isin(key[own], held[part])
+            yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _keys(fs, folder: str) -> np.ndarray:
+    from pyarrow import fs as arrow_fs
+    from pyarrow import parquet
+
+    files = [f.path for f in fs.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+    out = []
+    for f in files:
+        with fs.open_input_file(f) as file:
+            out.append(parquet.ParquetFile(file).read(columns=["key"]).column("key").to_numpy())
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 def as_row(docs: DataFrame, names: tuple[str, ...] | None = None) -> Column:
     """The columns `names` of `docs` (all by default) as one struct `row`: no name in it can clash."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in (docs.columns if names is None else names)]).alias("row")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import as_row, materialise
+from hazelogic.llm.common import as_row, chosen, materialise
 
 BITS = 64
 #: Pairs handled in one numpy step, and rows joined at a time; these bound memory only.
@@ -488,6 +488,6 @@ def similar(pairs: DataFrame, texts: DataFrame, how: Wide, shingle: int) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = materialise(texts.join(need, "key", "left_semi"), "candidate-texts")
+    texts = materialise(chosen(texts, need, "candidate-keys"), "candidate-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazelogic.llm.common import materialise, new_path
+from hazelogic.llm.common import filesystem, materialise, new_path
 
 #: Bytes after which a writer starts another file.
 ROTATE = 32 << 20
@@ -35,13 +35,6 @@ _NEXT_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _filesystem(uri: str):
-    """A file system and a path in it, for file:, hdfs:, s3: and the like."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:", "", uri))
-
-
 # ---------------------------------------------------------------- writing
 
 
@@ -89,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str, rotate: int = ROTATE, compress
     """Writes rows of `with_revisits` under `folder`; returns path and records of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         out, name, size, count = None, "", 0, 0
         for b in batches:
@@ -260,7 +253,7 @@ def read_archives(files: DataFrame, payloads: bool = True, strict: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, due in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, name = _filesystem(path)
+                fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
                     rows, held, records = [], 0, 0
                     for kind, begin, end, *rest in salvage(Source(_At(f), f.size())):
