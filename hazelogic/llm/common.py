@@ -60,8 +60,9 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-#: Intermediate tables that a stage has written and nothing but its own result reads.
-_scratch: list[str] = []
+#: Intermediate tables, by the stage that wrote them (none: an operator called by itself); only its own result reads them.
+_scratch: list[tuple[str | None, str]] = []
+_stage: str | None = None
 #: Tables written between collections of garbage, which lets Spark drop the shuffles and broadcasts of earlier steps.
 EACH = 5
 _written = 0
@@ -72,14 +73,14 @@ def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
 
     Cuts lineage and survives lost executors; unlike `checkpoint()` it
     computes the plan one time only. The table goes when the driver ends, or,
-    unless it is to `keep`, with `release`.
+    unless it is to `keep`, with the stage that it belongs to (see `begin`).
     """
     global _written
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
     if not keep:
-        _scratch.append(path)
+        _scratch.append((_stage, path))
     _written += 1
     if _written % EACH == 0:
         gc.collect()
@@ -87,10 +88,17 @@ def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far: what was made from them must have been written by now."""
-    while _scratch:
-        _delete(spark, _scratch.pop())
+def begin(spark: SparkSession, stage: str) -> None:
+    """Deletes the intermediate tables of other stages, whose results must have been written by now.
+
+    Tables of the same stage stay, and so do those of operators called before
+    any stage.
+    """
+    global _stage
+    _stage = stage
+    for entry in [e for e in _scratch if e[0] not in (None, stage)]:
+        _scratch.remove(entry)
+        _delete(spark, entry[1])
 
 
 def filesystem(uri: str):
@@ -114,7 +122,7 @@ def chosen(rows: DataFrame, keys: DataFrame, what: str) -> DataFrame:
     path = new_path(rows.sparkSession, what)
     by_part = keys.select("key", F.call_function("shiftright", F.col("key"), F.lit(PART_BITS)).alias("part"))
     by_part.repartition("part").write.partitionBy("part").parquet(path)
-    _scratch.append(path)
+    _scratch.append((_stage, path))
     at = rows.columns.index("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

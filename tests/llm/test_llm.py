@@ -67,6 +67,9 @@ def test_decontamination(spark, block):
     got = sorted((r.row.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.find_contamination(d, b, block_chars=block).collect())
     assert got == sorted((i, *brute_hits(t, items)) for i, t in docs)
     assert {r.n_hit for r in decontam.find_contamination(d, b.limit(0)).collect()} == {0}
+    odd = spark.createDataFrame([("x", base[0] + " y" * 200_000, 1, "q"), (None, base[1], 2, "r")], "doc_id string, text string, items int, n_hit string")
+    found = decontam.find_contamination(odd, b, block_chars=block, carry=("doc_id", "items", "n_hit")).collect()
+    assert sorted((r.row["items"], r.row.n_hit, r.n_words, r.n_hit, r["items"]) for r in found) == [(1, "q", len(base[0].split()) + 200_000, len(base[0].split()), ["10"]), (2, "r", len(base[1].split()), len(base[1].split()), ["9"])]
     span = decontam.find_contamination(d, b).where("row.doc_id = 4").first().spans
     assert [docs[3][1][s["begin"] : s["end"]] for s in span] == ["SHORT, one", "short one"]
 
@@ -685,6 +688,18 @@ def test_pipeline(spark):
     assert p.mix(spark, clean, TINY).where(F.col("copy") >= 3).count() == 0
 
 
+def test_rows_are_chosen_by_key_without_a_shuffle(spark):
+    """Keys of any partition, none, and all; the plan of the rows holds no exchange."""
+    from hazelogic.llm.common import chosen, materialise
+
+    rows = materialise(spark.range(0, 500, numPartitions=7).select(F.col("id").cast("string").alias("t"), F.monotonically_increasing_id().alias("key")), "test")
+    for want in (F.col("t").cast("int") % 3 == 0, F.lit(False), F.lit(True)):
+        got = chosen(rows, rows.where(want).select("key"), "test-keys")
+        assert sorted(got.collect()) == sorted(rows.where(want).collect())
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert chosen(rows.limit(0), rows.select("key"), "test-keys").count() == 0
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
