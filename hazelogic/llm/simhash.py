@@ -298,6 +298,7 @@ def _bucket_links(k: int, levels: tuple[int, ...] = ()):
                 found = Found(level != levels[-1], *((found.i, found.j) if found else ()))
                 trie_join(fp, starts, min(k, level), words, level, forest, found)
             i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found.i, found.j))
+            i, j = _to_hubs(i, j, forest.label, rep, np.column_stack([fp, words]), levels[-1] // 2)
         return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,6 +324,24 @@ def _bucket_links(k: int, levels: tuple[int, ...] = ()):
     return run
 
 
+def _to_hubs(i: np.ndarray, j: np.ndarray, label: np.ndarray, rep: np.ndarray, words: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, those inside a group of one label led over its row of least rep where both ends are that near to it.
+
+    Buckets that share a group's rows then mostly name the same pairs, so a
+    large group of near copies makes a few pairs a row and not one a bucket.
+    """
+    order = np.lexsort((rep, label))
+    first = order[np.r_[True, label[order][1:] != label[order][:-1]]]
+    hub = np.zeros(len(label), np.int64)
+    hub[label[first]] = first
+    hub = hub[label]
+    close = np.bitwise_count(words ^ words[hub]).sum(axis=1) <= near
+    led = (label[i] == label[j]) & close[i] & close[j]
+    ends = np.unique(np.concatenate([i[led], j[led]]))
+    ends = ends[hub[ends] != ends]
+    return np.concatenate([i[~led], ends]), np.concatenate([j[~led], hub[ends]])
+
+
 def similar_pairs(classes: DataFrame, k: int = 4) -> DataFrame:
     """Links (a, b) between the distinct fingerprints `fp`, a spanning forest of each bucket.
 
