@@ -12,7 +12,8 @@ buckets meet in a distributed connected-components run over fingerprints.
 
 `near_copies` takes the same join to texts of Jaccard similarity 0.8, where
 four bits of 64 find next to nothing, and compares what it finds exactly: see
-`Wide`.
+`Wide`. What the fingerprints miss, an exact join of prefixes between the
+groups found so far completes: see `missed`.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def trie_join(fp: np.ndarray, starts: np.ndarray, k: int, more: np.ndarray | Non
     unless `more` is given; starts: where the buckets begin, and the number of
     rows. With `more` (further bits, a row of words for each fingerprint) a
     link also needs at most k_all differing bits in all. Fingerprints equal in
-    their first word are compared with the first of them and their neighbour.
+    their first word are compared with the first of them and their neighbour,
+    so with `more` not every link need be found.
     `found` gathers the pairs that make links; where it does not unite, pairs
     are noted once for each two labels and nothing is linked.
     """
@@ -276,11 +278,12 @@ def _children(fp: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_links(k: int, levels: tuple[int, ...] = ()):
-    """Links of buckets from batches of (c, key, fp, rep) and, for wide fingerprints, more words.
+    """Links of buckets from batches of (c, key, fp, rep) and, for wide fingerprints, more words and a root.
 
     With `levels`, budgets of wide fingerprints in ascending order, the pairs
     are those that unite groups level by level, and at the last level one for
-    each two groups; every pair is of rows that near.
+    each two groups; every pair is of rows that near. Rows of one root are
+    one group from the start and make no pairs.
     """
 
     def links(c: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
@@ -293,12 +296,19 @@ def _bucket_links(k: int, levels: tuple[int, ...] = ()):
             i = np.flatnonzero(label != np.arange(len(label)))
             j = label[i]
         else:
-            words, forest, found = np.stack(more, axis=1)[order].view(np.uint64), Forest(len(fp)), None
+            words, root = np.stack(more[:-1], axis=1)[order].view(np.uint64), more[-1][order]
+            forest, found = Forest(len(fp)), None
+            bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            by_root = np.lexsort((root, bucket))
+            new = np.r_[True, (np.diff(bucket[by_root]) != 0) | (np.diff(root[by_root]) != 0)]
+            forest.link(by_root, by_root[np.flatnonzero(new)[np.cumsum(new) - 1]])
             for level in levels:
                 found = Found(level != levels[-1], *((found.i, found.j) if found else ()))
                 trie_join(fp, starts, min(k, level), words, level, forest, found)
             i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found.i, found.j))
             i, j = _to_hubs(i, j, forest.label, rep, np.column_stack([fp, words]), levels[-1] // 2)
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
         return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,12 +428,14 @@ class Wide:
     probability `meet`, however many texts there are; in a bucket the trie join
     prunes at `first_budget` of the first 64 bits and takes pairs of up to
     `budget` of 256 as candidates. Both budgets are p and three deviations of
-    the binomial. Candidates are then compared exactly.
+    the binomial. Candidates are then compared exactly. The first `first_keys`
+    keys go ahead, so that the others meet large groups already united.
     """
 
     similarity: float = 0.8
     meet: float = 0.99
     seed: int = 42
+    first_keys: int = 2
 
     @property
     def p(self) -> float:
@@ -458,6 +470,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+#: Shingles counted at a time, and the most of those in several texts that the order of `missed` puts last.
+COUNTED, COMMON = 2_000_000, 1 << 17
+
+
 def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (row, a struct of all columns of any names, and key) and groups (key and component).
 
@@ -468,30 +484,143 @@ def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, text_col:
     rows without words (null, empty), are linked. Candidates come from the
     trie join of 256 bits (see `Wide`), one pair for each two groups of a
     bucket, and become links only if their sets, compared in full, are that
-    similar. Whole texts are read; an empty table gives an empty result.
+    similar. Links between different groups that the fingerprints miss are
+    then found by `missed`, so none is left out. Whole texts are read; an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "mark", "fp", "w1", "w2", "w3", "shingle", "texts"]
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            values, n = values[n > 1].view(np.int64), n[n > 1]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), t) for t in (pa.int64(), pa.binary(), *[pa.int64()] * 4)), pa.array(values), pa.array(n.astype(np.int64))], names=names)
+
         for b in batches:
             sets = [np.unique(shingle_hashes(t, shingle, how.seed)) for t in b.column(1).to_pylist()]
             fp = np.array([[majority(v), *(majority(_mixed(v, i)) for i in (1, 2, 3))] for v in sets], dtype=np.uint64).reshape(-1, 4).view(np.int64)
             mark = pa.array([sha256(v.tobytes()).digest()[:16] for v in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), mark, *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4))], names=["key", "mark", "fp", "w1", "w2", "w3"])
+            yield pa.RecordBatch.from_arrays([b.column(0), mark, *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4)), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
+            held += sets
+            if sum(map(len, held)) >= COUNTED:
+                yield counted()
+                held.clear()
+        yield counted()
 
     rows = materialise(docs.select(as_row(docs), F.monotonically_increasing_id().alias("key")), "rows")
     texts = rows.select("key", F.col(f"row.`{text_col}`").alias("text"))
-    prints = materialise(texts.mapInArrow(run, "key long, mark binary, fp long, w1 long, w2 long, w3 long"), "fingerprints")
-    classes = materialise(prints.groupBy("mark").agg(F.min(F.struct(F.col("key").alias("rep"), "fp", "w1", "w2", "w3")).alias("m")).select("mark", "m.*"), "classes")
-    words = ["fp", "w1", "w2", "w3"]
+    both = materialise(texts.mapInArrow(run, "key long, mark binary, fp long, w1 long, w2 long, w3 long, shingle long, texts long"), "fingerprints")
+    prints, words = both.where("key IS NOT NULL"), ["fp", "w1", "w2", "w3"]
+    classes = materialise(prints.groupBy("mark").agg(F.min(F.struct(F.col("key").alias("rep"), *words)).alias("m")).select("mark", "m.*"), "classes")
     keys = [F.struct(F.lit(c).alias("c"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("k")) for c, (w, m) in enumerate(how.masks(classes.count()))]
-    keyed = classes.select(F.explode(F.array(*keys)).alias("k"), *words, "rep").select("k.c", "k.k", "fp", "rep", "w1", "w2", "w3")
-    pairs = keyed.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_bucket_links(how.first_budget, how.levels), "a long, b long")
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    roots = components(similar(pairs, texts, how, shingle))
-    rooted = classes.join(roots, F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("root", "rep").alias("component"))
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    for some in (keys[: how.first_keys], keys[how.first_keys :]):
+        if some:
+            keyed = _rooted(classes, roots).select(F.explode(F.array(*some)).alias("k"), *words, "rep", "root").select("k.c", "k.k", "fp", "rep", "w1", "w2", "w3", "root")
+            pairs = keyed.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_bucket_links(how.first_budget, how.levels), "a long, b long")
+            roots = _extended(roots, pairs, texts, how, shingle)
+    common = both.where("key IS NULL").groupBy("shingle").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "shingle").limit(COMMON).select("shingle").toArrow()
+    pairs = missed(texts, classes, roots, common.column(0).to_numpy().view(np.uint64), how, shingle)
+    rooted = _rooted(classes, _extended(roots, pairs, texts, how, shingle)).select("mark", F.col("root").alias("component"))
     return rows, prints.select("key", "mark").join(rooted, "mark").drop("mark")
 
 
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`classes` with the root of each, its own rep where none is linked to it."""
+    return classes.join(roots, F.col("rep") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _extended(roots: DataFrame, pairs: DataFrame, texts: DataFrame, how: Wide, shingle: int) -> DataFrame:
+    """The components of what `roots` link and of those candidate pairs that are similar enough."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    return components(similar(pairs, texts, how, shingle).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def missed(texts: DataFrame, classes: DataFrame, roots: DataFrame, common: np.ndarray, how: Wide, shingle: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots, all those of at least the similarity among them.
+
+    Two sets of similarity t or more share an element among the first
+    n - ceil(t n) + 1 of each in any order that holds for all sets. The order
+    is by hash, with the elements `common` (most frequent first) at its end:
+    which those are changes the number of candidates and no link. From where a
+    shared element stands follows how many can be shared in all; pairs that
+    cannot reach the similarity are dropped, and so are those of one root, so
+    a large group makes no pairs inside itself.
+    """
+    by_value = np.argsort(common)
+    given = texts.sparkSession.sparkContext.broadcast((common[by_value], len(common) - by_value))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = given.value
+        for b in batches:
+            size, first = [], []
+            for t in b.column(1).to_pylist():
+                v = np.unique(shingle_hashes(t, shingle, how.seed))
+                late = np.zeros(len(v), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                    late = np.where(known[at] == v, rank[at], 0)
+                size.append(len(v))
+                first.append(v[np.lexsort((v, late))][: len(v) - ceil(how.similarity * len(v) - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), tokens], names=["rep", "n", "tokens"])
+
+    held = chosen(texts, classes.select(F.col("rep").alias("key")), "class-keys").mapInArrow(prefix, "rep long, n long, tokens array<long>")
+    dealt = _rooted(held, roots).select(F.posexplode("tokens").alias("at", "token"), "root", "rep", "n").repartition("token").sortWithinPartitions("token")
+    return dealt.select("token", "root", "rep", "n", F.col("at").cast("long").alias("at")).mapInArrow(_across(how.similarity), "a long, b long")
+
+
+def _across(least: float):
+    """Pairs between roots from batches of (token, root, rep, n, at) sorted by token, once a batch each."""
+
+    def pairs(token: np.ndarray, root: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((root, token))
+        token, root, rep, n, at = (x[order] for x in (token, root, rep, n, at))
+        new = token[1:] != token[:-1]
+        ends = np.append(np.flatnonzero(new), len(token) - 1) + 1
+        end = ends[np.searchsorted(ends, np.arange(len(token)), "right")]  # of the token's rows
+        ends = np.append(np.flatnonzero(new | (root[1:] != root[:-1])), len(token) - 1) + 1
+        start = ends[np.searchsorted(ends, np.arange(len(token)), "right")]  # of its rows of other roots
+        rows = np.flatnonzero(end > start)
+        todo = np.cumsum(end[rows] - start[rows])
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + STEP_PAIRS, "right")))
+            r = rows[lo:hi]
+            i, j = _expand(np.stack([r, r + 1]), np.stack([start[r], end[r]]))
+            most = np.minimum(n[i] - at[i], n[j] - at[j])
+            may = most * (1 + least) >= least * (n[i] + n[j]) - 1e-6
+            a, b = rep[i[may]], rep[j[may]]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            held.append([b.column(i).to_numpy() for i in range(5)])
+            rows += b.num_rows
+            if rows < BATCH_ROWS:
+                continue
+            all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+            at = int(np.searchsorted(all_[0], all_[0][-1]))  # the last token may go on in the next batch
+            if at:
+                yield from pairs(*(x[:at] for x in all_))
+            held = [[x[at:] for x in all_]]
+            rows = 0 if at else -len(all_[0])
+        if held:
+            all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if len(all_[0]):
+                yield from pairs(*all_)
+
+    return run
+
+
 def similar(pairs: DataFrame, texts: DataFrame, how: Wide, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) of keys whose texts, given as key and text, are similar enough."""
 

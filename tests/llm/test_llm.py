@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,6 +482,56 @@ def test_near_copies(spark):
     assert sorted(r["count"] for r in groups.groupBy("component").count().collect()) == [1, 3] and rows.select("row.key").count() == 4
 
 
+def test_near_copies_leave_out_no_link(spark):
+    """Pairs barely at the threshold, short and long, among texts that share a passage: exactly the brute-force components."""
+    rng, rows = random.Random(18), []
+    common = " ".join(f"c{i}" for i in range(30))
+    for _ in range(900):
+        n = rng.choice((24, 49, 120))
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = rng.randint(1, max(1, n // 9))
+        rows += [" ".join(words), " ".join(words[cut:] + [f"x{rng.randrange(10**6)}" for _ in range(cut - rng.randint(0, cut))])]
+        rows.append(common + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.choice((3, 9, 40)))))
+    sets = [shingles(t) for t in rows]
+    having, root = {}, list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s:
+            having.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i, j in {(h[0], j) for h in having.values() for j in h[1:]} | {(i, j) for i in range(2, len(rows), 3) for j in range(i + 3, len(rows), 3)}:
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            links += 1
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    assert links > 600
+    found = copies_of(spark.createDataFrame(list(enumerate(rows)), "at long, text string")).collect()
+    least = {}
+    for r in sorted(found, key=lambda r: r.at):
+        least.setdefault(r.component, r.at)
+    assert [least[r.component] for r in sorted(found, key=lambda r: r.at)] == [find(i) for i in range(len(rows))]
+
+
+def test_rows_of_one_root_make_no_pairs():
+    """Groups already united name no pair again; a row of another root in their bucket does."""
+    rng = np.random.default_rng(3)
+    words = np.full((500, 4), 12345, np.int64) ^ (np.int64(1) << rng.integers(0, 50, (500, 4)))
+    words[499] = words[0]
+    for root, most in ((np.zeros(500, np.int64), 0), (np.r_[np.zeros(499, np.int64), 499], 3)):
+        cols = [np.zeros(500, np.int64), np.zeros(500, np.int64), words[:, 0], np.arange(500), *words[:, 1:].T, root]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=list("ckfrabcd"))
+        got = [x for b in simhash._bucket_links(20, (14, 28, 56))([batch]) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(got) <= most and bool(got) == bool(most) and all(499 in p for p in got)
+        cols = [np.repeat([7, 8], 250), root, np.arange(500), np.full(500, 10), np.zeros(500, np.int64)]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=list("trpna"))
+        got = [x for b in simhash._across(0.8)([batch]) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == ([(i, 499) for i in range(250, 499)] if most else [])
+
+
 def test_trie_join_takes_equal_first_words():
     """Many fingerprints equal in their first word: the closest are still noted, in bounded time."""
     rng = np.random.default_rng(2)
