@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +112,13 @@ def filesystem(uri: str):
 PART_BITS = 33
 
 
-def chosen(rows: DataFrame, keys: DataFrame, what: str) -> DataFrame:
+def chosen(rows: DataFrame, keys: DataFrame, what: str, then: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Those of `rows` whose `key`, a `monotonically_increasing_id`, is among the distinct `keys.key`.
 
     The rows, which may hold long texts, are not shuffled: keys are written by
     the partition that made them, and a task reads the lists of the partitions
-    its rows come from, each as long as that partition at most.
+    its rows come from, each as long as that partition at most. `then` takes
+    the batches of chosen rows on to batches of `schema`, in the same worker.
     """
     path = new_path(rows.sparkSession, what)
     by_part = keys.select("key", F.call_function("shiftright", F.col("key"), F.lit(PART_BITS)).alias("part"))
@@ -139,7 +140,7 @@ def chosen(rows: DataFrame, keys: DataFrame, what: str) -> DataFrame:
                 keep[own] = np.isin(key[own], held[part])
             yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema) if then is None else rows.mapInArrow(lambda batches: then(run(batches)), schema)
 
 
 def _keys(fs, folder: str) -> np.ndarray:

@@ -503,7 +503,7 @@ def near_copies(docs: DataFrame, how: Wide = Wide(), shingle: int = 5, text_col:
             fp = np.array([[majority(v), *(majority(_mixed(v, i)) for i in (1, 2, 3))] for v in sets], dtype=np.uint64).reshape(-1, 4).view(np.int64)
             mark = pa.array([sha256(v.tobytes()).digest()[:16] for v in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), mark, *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(4)), *[pa.nulls(len(sets), pa.int64())] * 2], names=names)
-            held += sets
+            held.append(np.concatenate([np.zeros(0, np.uint64), *sets]))
             if sum(map(len, held)) >= COUNTED:
                 yield counted()
                 held.clear()
@@ -563,12 +563,12 @@ def missed(texts: DataFrame, classes: DataFrame, roots: DataFrame, common: np.nd
                     at = np.minimum(np.searchsorted(known, v), len(known) - 1)
                     late = np.where(known[at] == v, rank[at], 0)
                 size.append(len(v))
-                first.append(v[np.lexsort((v, late))][: len(v) - ceil(how.similarity * len(v) - 1e-9) + 1])
+                first.append(v[np.lexsort((v, late))[: len(v) - ceil(how.similarity * len(v) - 1e-9) + 1]])
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), tokens], names=["rep", "n", "tokens"])
 
-    held = chosen(texts, classes.select(F.col("rep").alias("key")), "class-keys").mapInArrow(prefix, "rep long, n long, tokens array<long>")
+    held = chosen(texts, classes.select(F.col("rep").alias("key")), "class-keys", prefix, "rep long, n long, tokens array<long>")
     dealt = _rooted(held, roots).select(F.posexplode("tokens").alias("at", "token"), "root", "rep", "n").repartition("token").sortWithinPartitions("token")
     return dealt.select("token", "root", "rep", "n", F.col("at").cast("long").alias("at")).mapInArrow(_across(how.similarity), "a long, b long")
 
